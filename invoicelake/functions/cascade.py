@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from invoicelake.functions.columns import first_of
+from invoicelake.functions.columns import first_of, let
 from invoicelake.functions.rules import Rule, Words
+from invoicelake.functions.text import folded_pattern
 
 Normalizer = Callable[[Column], Column]
 
@@ -20,12 +21,18 @@ def _winner(rule: Rule, value: Column) -> Column:
     )
 
 
-def first_match(text: Column, rules: list[Rule], words: Words, normalizer: Normalizer) -> Column:
-    """C1 for fields whose matches are always readable: stops at the first rule that hits."""
+def first_match(
+    text: Column, folded: Column, rules: list[Rule], words: Words, normalizer: Normalizer
+) -> Column:
+    """C1 for fields whose matches are always readable: stops at the first rule that hits.
+
+    The search runs on the folded text; only the winner reads the text itself,
+    for the case of its value.
+    """
     return F.coalesce(
         *[
             F.when(
-                words.may_match(rule) & text.rlike(rule.pattern),
+                words.may_match(rule) & folded.rlike(folded_pattern(rule.pattern)),
                 _winner(rule, normalizer(F.regexp_extract(text, rule.pattern, rule.group))),
             )
             for rule in rules
@@ -46,17 +53,21 @@ def hits(text: Column, rules: list[Rule], words: Words) -> Column:
     return F.filter(F.array(*found), lambda h: h["raw"] != "")
 
 
-def cascade(text: Column, rules: list[Rule], words: Words, normalizer: Normalizer) -> Column:
+def cascade(folded: Column, rules: list[Rule], words: Words, normalizer: Normalizer) -> Column:
     """Struct (value, confidence, rule_no) of the first rule whose value can be read.
 
-    The hits are collected before any is read, so the normaliser stands once in
-    the plan however many rules there are.
+    Rules behind the winner are not tried.
     """
-    read = F.transform(
-        hits(text, rules, words),
-        lambda h: F.struct(normalizer(h["raw"]).alias("value"), h["confidence"], h["rule_no"]),
-    )
-    return first_of(F.filter(read, lambda h: h["value"].isNotNull()))
+
+    def attempt(rule: Rule) -> Column:
+        raw = F.regexp_extract(folded, folded_pattern(rule.pattern), rule.group)
+        value = let(raw, lambda r: F.when(r != "", normalizer(r)))
+        return F.when(
+            words.may_match(rule),
+            let(value, lambda v: F.when(v.isNotNull(), _winner(rule, v))),
+        )
+
+    return F.coalesce(*[attempt(rule) for rule in rules])
 
 
 def first_valid(text: Column, pattern: str, normalizer: Normalizer) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it several times in ``body``."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
 def blank_to_null(c: Column) -> Column:

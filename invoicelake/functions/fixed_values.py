@@ -20,7 +20,7 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+LINE_BREAK = "[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"  # and CRLF as one
 
 PAGE_SEPARATOR = "\n\n--- Page Break ---\n\n"
 TABLE_HEADING = "\n--- Tables ---"
@@ -186,15 +186,16 @@ VENDOR_NOT_A_NAME_START = TEXT_FLAGS + r"^(?:invoice|bill|receipt|date|to:|from:
 
 # --- Line items -------------------------------------------------------------
 
-ITEM_HEADER = TEXT_FLAGS + r"description|item|particulars"
-ITEM_HEADER_PRICE = TEXT_FLAGS + r"price|amount|total|rate|charge"
-ITEM_HEADER_QUANTITY = TEXT_FLAGS + r"qty|quantity|units?|nos?\.?|count"
+# Parts of words, in any case.
+ITEM_HEADER = ["description", "item", "particulars"]
+ITEM_HEADER_PRICE = ["price", "amount", "total", "rate", "charge"]
+ITEM_HEADER_QUANTITY = ["qty", "quantity", "unit", "no", "count"]
 ITEM_STOP = (
     TEXT_FLAGS
     + r"^\s*(?:sub\s*[-]?\s*total|grand\s+total|total\s+amount|discount|tax\s*(?:@|:|\d)|vat|gst|"
     + r"cgst|sgst|igst|balance\s+due|amount\s+due|net\s+total)"
 )
-ITEM_COLUMN_GAP = r"(?U)\s{2,}|\t+"
+ITEM_COLUMN_GAP = r"(?U)[\s\x1c-\x1f]{2,}|\t+"
 ITEM_NUMBER = r"(?U)^[\$£€₹]?\s*[\d,\.]+\s*[KkMm]?$"
 ITEM_MAX_QUANTITY = 9999.0
 

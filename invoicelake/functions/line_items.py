@@ -7,39 +7,57 @@ from pyspark.sql import Column, DataFrame, functions as F
 from invoicelake.functions import fixed_values as V
 from invoicelake.functions.columns import first_of, let
 from invoicelake.functions.normalize import normalize_amount
-from invoicelake.functions.text import lines, norm_newlines, strip
+from invoicelake.functions.text import contains_any, fold, lines, norm_newlines, strip
 
 ITEM_TYPE = "array<struct<description:string,quantity:double,unit_price:double,amount:double>>"
 
 
 def is_header(line: Column) -> Column:
     """L1: names the description column and a quantity or a price column."""
-    return line.rlike(V.ITEM_HEADER) & (
-        line.rlike(V.ITEM_HEADER_QUANTITY) | line.rlike(V.ITEM_HEADER_PRICE)
+    return let(
+        fold(line),
+        lambda x: contains_any(x, V.ITEM_HEADER)
+        & contains_any(x, V.ITEM_HEADER_QUANTITY + V.ITEM_HEADER_PRICE),
+    )
+
+
+def _with_first(found: Column, test) -> Column:
+    """The lines, and the position of the first that passes the test, 0 if none does."""
+    return let(
+        found,
+        lambda l: F.struct(
+            l.alias("l"), F.array_position(F.transform(l, lambda x: test(x)), True).alias("at")
+        ),
     )
 
 
 def _behind_header(all_lines: Column) -> Column:
-    at = F.array_position(F.transform(all_lines, is_header), True)
     return let(
-        F.struct(all_lines.alias("l"), at.alias("at")),
+        _with_first(all_lines, is_header),
         lambda t: F.when(t["at"] > 0, F.slice(t["l"], t["at"].cast("int") + 1, F.size(t["l"]))),
     )
 
 
 def _before_stop(stripped: Column) -> Column:
     """L2: cut at the first line that opens the totals."""
-    at = F.array_position(F.transform(stripped, lambda x: x.rlike(V.ITEM_STOP)), True)
     return let(
-        F.struct(stripped.alias("l"), at.alias("at")),
+        _with_first(stripped, lambda x: x.rlike(V.ITEM_STOP)),
         lambda t: F.when(t["at"] > 0, F.slice(t["l"], 1, t["at"].cast("int") - 1)).otherwise(t["l"]),
     )
 
 
-def _columns(line: Column) -> Column:
-    """L3: cells between gaps of two or more blanks, or tabs."""
-    cells = F.transform(F.split(line, V.ITEM_COLUMN_GAP), strip)
-    return F.filter(cells, lambda x: x != "")
+_GAP = "\x1f"
+
+
+def _columns(stripped: Column) -> Column:
+    """L3: cells between gaps of two or more blanks, or tabs.
+
+    A gap takes all white space around it and the lines are stripped, so the
+    cells come out stripped and none is empty.
+    """
+    marked = F.regexp_replace(F.array_join(stripped, "\n"), V.ITEM_COLUMN_GAP, _GAP)
+    rows = F.transform(F.split(marked, "\n"), lambda x: F.split(x, _GAP))
+    return F.filter(rows, lambda cells: F.size(cells) >= 2)
 
 
 def is_number(cell: Column) -> Column:
@@ -48,10 +66,13 @@ def is_number(cell: Column) -> Column:
 
 
 def _split_roles(cells: Column) -> Column:
-    numbers = F.filter(cells, is_number)
-    return F.struct(
-        F.array_join(F.filter(cells, lambda x: ~is_number(x)), " ").alias("text"),
-        F.transform(numbers, normalize_amount).alias("numbers"),
+    marked = F.transform(cells, lambda x: F.struct(x.alias("text"), is_number(x).alias("number")))
+    return let(
+        marked,
+        lambda m: F.struct(
+            F.array_join(F.filter(m, lambda x: ~x["number"])["text"], " ").alias("text"),
+            F.transform(F.filter(m, lambda x: x["number"])["text"], lambda x: normalize_amount(x)).alias("numbers"),
+        ),
     )
 
 
@@ -61,7 +82,7 @@ def _item(row: Column) -> Column:
     numbers, count = row["numbers"], F.size(row["numbers"])
     rest = F.slice(numbers, 1, F.greatest(count - 2, F.lit(0)))
     whole = F.filter(rest, lambda v: (v == F.floor(v)) & (v <= V.ITEM_MAX_QUANTITY))
-    text = strip(row["text"])
+    text = row["text"]
     return F.struct(
         F.when(text != "", text).alias("description"),
         first_of(whole).alias("quantity"),
@@ -74,7 +95,7 @@ def line_items(raw: Column) -> Column:
     """Items of the first table of a text; an empty array when there is none."""
     body = _behind_header(lines(norm_newlines(raw)))
     stripped = F.filter(F.transform(body, strip), lambda x: x != "")
-    rows = F.filter(F.transform(_before_stop(stripped), _columns), lambda c: F.size(c) >= 2)
+    rows = _columns(_before_stop(stripped))
     parsed = F.filter(F.transform(rows, _split_roles), lambda r: F.size(r["numbers"]) > 0)
     items = F.filter(
         F.transform(parsed, _item),
@@ -91,9 +112,8 @@ def explode_line_items(results: DataFrame, items: str = "fields.line_items") ->
 
 def item_columns(items: Column) -> Column:
     """Which of the optional item columns hold any value."""
-    return F.struct(
-        *[
-            F.exists(items, lambda i, name=name: i[name].isNotNull()).alias("has_" + name)
-            for name in ("quantity", "unit_price", "amount")
-        ]
-    )
+
+    def known(name: str) -> Column:
+        return F.exists(items, lambda i: i[name].isNotNull()).alias("has_" + name)
+
+    return F.struct(*[known(name) for name in ("quantity", "unit_price", "amount")])

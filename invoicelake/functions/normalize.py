@@ -13,7 +13,7 @@ from pyspark.sql import Column, functions as F
 
 from invoicelake.functions import fixed_values as V
 from invoicelake.functions.columns import let, lookup
-from invoicelake.functions.text import strip
+from invoicelake.functions.text import folded_pattern, strip
 
 
 def _foreign_digits() -> tuple[str, str]:
@@ -27,7 +27,10 @@ _FOREIGN, _ASCII = _foreign_digits()
 
 def ascii_digits(c: Column) -> Column:
     """Digits of other scripts to 0-9; plain ASCII strings are passed through."""
-    return F.when(F.length(c) == F.octet_length(c), c).otherwise(F.translate(c, _FOREIGN, _ASCII))
+    return let(
+        c,
+        lambda x: F.when(F.length(x) == F.octet_length(x), x).otherwise(F.translate(x, _FOREIGN, _ASCII)),
+    )
 
 
 # --- Dates ------------------------------------------------------------------
@@ -143,6 +146,7 @@ def round2(x: Column) -> Column:
     return let(product, decide)
 
 
+_PLAIN = r"^\d{1,12}(?:\.\d{1,2})?$"
 _SPACED = r"(?U)^\d[\d ]*\d(?:[.,]\d+)?$"
 _NUMBER = r"^[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?$"
 
@@ -194,7 +198,13 @@ def normalize_amount(c: Column) -> Column:
     def scale(t: Column) -> Column:
         return F.when(t["factor"].isNull(), t["base"]).otherwise(round2(t["base"] * t["factor"]))
 
-    return let(let(strip_currency(c), read), scale)
+    # most amounts are plain and need none of this
+    return let(
+        c,
+        lambda x: F.when(x.rlike(_PLAIN), x.try_cast("double")).otherwise(
+            let(let(strip_currency(x), read), scale)
+        ),
+    )
 
 
 # --- Currency ---------------------------------------------------------------
@@ -211,9 +221,10 @@ def normalize_currency(c: Column) -> Column:
     )
 
 
-def detect_currency(c: Column) -> Column:
-    """First currency word or symbol of a text as ISO code."""
-    return normalize_currency(F.regexp_extract(c, V.CURRENCY_IN_TEXT, 0))
+def detect_currency(c: Column, folded: bool = False) -> Column:
+    """First currency word or symbol of a text, or folded text, as ISO code."""
+    pattern = folded_pattern(V.CURRENCY_IN_TEXT) if folded else V.CURRENCY_IN_TEXT
+    return normalize_currency(F.regexp_extract(c, pattern, 0))
 
 
 def truncate_name(c: Column) -> Column:

@@ -40,7 +40,15 @@ from invoicelake.functions.scoring import (
     overall_confidence,
     sum_warning,
 )
-from invoicelake.functions.text import clean_text, fold, head_lines, raw_text_length, strip, total_line
+from invoicelake.functions.text import (
+    clean_text,
+    fold,
+    folded_pattern,
+    head_lines,
+    raw_text_length,
+    strip,
+    total_line,
+)
 from invoicelake.operators.entities import EVIDENCE_TYPE, evidence
 
 
@@ -149,7 +157,7 @@ def rule_candidates(docs: DataFrame, doc_type: DocType = INVOICE, keep: tuple[st
     """What the rules find in each text, as one small row per document."""
     rules = doc_type.rules()
     words = R.Words(rules, (*_TOTAL_LINE_WORDS, *_ITEM_HEADER_WORDS, *_NET_WORDS))
-    clean = F.col("clean_text")
+    clean, folded = F.col("clean_text"), F.col("_folded")
 
     def guarded(literals: tuple[str, ...], value: Column) -> Column:
         return F.when(any_true([words.has(w) for w in literals]), value)
@@ -158,35 +166,35 @@ def rule_candidates(docs: DataFrame, doc_type: DocType = INVOICE, keep: tuple[st
         docs.select("doc_id", *keep, F.coalesce(F.col("raw_text"), F.lit("")).alias("raw_text"))
         .withColumn("clean_text", clean_text(F.col("raw_text")))
         .withColumn("_folded", fold(clean))
-        .withColumn("_has", words.column(F.col("_folded")))
+        .withColumn("_has", words.column(folded))
     )
 
     number = _cascade_or_null(
         doc_type,
         "invoice_number",
-        lambda: first_match(clean, list(doc_type.invoice_number), words, strip),
+        lambda: first_match(clean, folded, list(doc_type.invoice_number), words, strip),
     )
     date = _cascade_or_null(
         doc_type,
         "invoice_date",
-        lambda: cascade(clean, list(doc_type.invoice_date), words, normalize_date),
+        lambda: cascade(folded, list(doc_type.invoice_date), words, normalize_date),
     )
     due = _cascade_or_null(
-        doc_type, "due_date", lambda: cascade(clean, list(doc_type.due_date), words, normalize_date)
+        doc_type, "due_date", lambda: cascade(folded, list(doc_type.due_date), words, normalize_date)
     )
     total = _cascade_or_null(
         doc_type,
         "total_amount",
-        lambda: cascade(clean, list(doc_type.total_amount), words, normalize_amount),
+        lambda: cascade(folded, list(doc_type.total_amount), words, normalize_amount),
     )
     label = _cascade_or_null(
         doc_type,
         "vendor_name",
         lambda: first_match(
-            clean, list(doc_type.vendor_name), words, lambda c: truncate_name(strip(c))
+            clean, folded, list(doc_type.vendor_name), words, lambda c: truncate_name(strip(c))
         ),
     )
-    on_total_line = guarded(_TOTAL_LINE_WORDS, detect_currency(total_line(clean)))
+    on_total_line = guarded(_TOTAL_LINE_WORDS, detect_currency(total_line(folded, folded=True), folded=True))
     items = guarded(_ITEM_HEADER_WORDS, line_items(F.col("raw_text")))
     no_items = F.array().cast(ITEM_TYPE)
 
@@ -194,6 +202,7 @@ def rule_candidates(docs: DataFrame, doc_type: DocType = INVOICE, keep: tuple[st
         "doc_id",
         *keep,
         "clean_text",
+        "_folded",
         raw_text_length(F.col("raw_text")).alias("raw_text_length"),
         number.alias("number"),
         date.alias("date"),
@@ -201,7 +210,7 @@ def rule_candidates(docs: DataFrame, doc_type: DocType = INVOICE, keep: tuple[st
         total.alias("total"),
         label.alias("label"),
         (on_total_line if doc_type.has("currency") else F.lit(None).cast("string")).alias("line_currency"),
-        (guarded(_NET_WORDS, net_days(clean)) if doc_type.has("due_date") else F.lit(None).cast("int")).alias(
+        (guarded(_NET_WORDS, net_days(folded)) if doc_type.has("due_date") else F.lit(None).cast("int")).alias(
             "net_days"
         ),
         (F.coalesce(items, no_items) if doc_type.has("line_items") else no_items).alias("items"),
@@ -224,10 +233,10 @@ def rule_candidates(docs: DataFrame, doc_type: DocType = INVOICE, keep: tuple[st
         "net_days",
         "items",
         fallback(
-            "invoice_date", F.col("date").isNull(), first_valid(clean, V.DATE_ANYWHERE, normalize_date), "date"
+            "invoice_date", F.col("date").isNull(), first_valid(folded, folded_pattern(V.DATE_ANYWHERE), normalize_date), "date"
         ).alias("any_date"),
         fallback(
-            "currency", F.col("line_currency").isNull(), detect_currency(clean), "string"
+            "currency", F.col("line_currency").isNull(), detect_currency(folded, folded=True), "string"
         ).alias("text_currency"),
         fallback("vendor_name", no_label, suffix_line(clean), "string").alias("suffix_line"),
         fallback("vendor_name", no_label, first_name_line(clean), "string").alias("first_line"),
