@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from invoicelake.functions.columns import per_application
 from invoicelake.sources.readers import read_text_corpus, spread
 
 # Items on one invoice; an order with more lines is spread over several.
@@ -108,9 +109,8 @@ def padded(key: Column, width: int) -> Column:
     return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
 
 
-def rendered_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Table docs(doc_id, raw_text): one text per invoice."""
-    sheets = _order_sheets(spark, sf_dir)
+@per_application
+def _invoice_text() -> Column:
     k, items = F.col("k"), F.col("items")
     d = {name: digit(k, name) for name in DIGITS}
 
@@ -185,7 +185,12 @@ def rendered_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         total_line,
     )
     raw = F.when(d["crlf"] == 1, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
-    return sheets.select("doc_id", raw.alias("raw_text"))
+    return raw
+
+
+def rendered_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table docs(doc_id, raw_text): one text per invoice."""
+    return _order_sheets(spark, sf_dir).select("doc_id", _invoice_text().alias("raw_text"))
 
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, functions as F
 
@@ -40,34 +41,46 @@ def first_match(
     )
 
 
+def _hit(text: Column, rule: Rule) -> Column:
+    return F.struct(
+        F.regexp_extract(text, rule.pattern, rule.group).alias("raw"),
+        F.lit(rule.confidence).alias("confidence"),
+        F.lit(rule.rule_no).alias("rule_no"),
+    )
+
+
 def hits(text: Column, rules: list[Rule], words: Words) -> Column:
     """All rules that hit, in order: array of (raw, confidence, rule_no)."""
-    found = [
-        F.struct(
-            F.when(words.may_match(rule), F.regexp_extract(text, rule.pattern, rule.group)).alias("raw"),
-            F.lit(rule.confidence).alias("confidence"),
-            F.lit(rule.rule_no).alias("rule_no"),
-        )
-        for rule in rules
-    ]
+    found = [F.when(words.may_match(rule), _hit(text, rule)) for rule in rules]
     return F.filter(F.array(*found), lambda h: h["raw"] != "")
 
 
 def cascade(folded: Column, rules: list[Rule], words: Words, normalizer: Normalizer) -> Column:
     """Struct (value, confidence, rule_no) of the first rule whose value can be read.
 
-    Rules behind the winner are not tried.
+    The first rule that hits is nearly always readable, and then the rules
+    behind it are not tried.  Otherwise all hits are collected and read in order.
     """
+    patterns = [replace(rule, pattern=folded_pattern(rule.pattern)) for rule in rules]
 
-    def attempt(rule: Rule) -> Column:
-        raw = F.regexp_extract(folded, folded_pattern(rule.pattern), rule.group)
-        value = let(raw, lambda r: F.when(r != "", normalizer(r)))
-        return F.when(
-            words.may_match(rule),
-            let(value, lambda v: F.when(v.isNotNull(), _winner(rule, v))),
-        )
+    def read(h: Column) -> Column:
+        return F.struct(normalizer(h["raw"]).alias("value"), h["confidence"], h["rule_no"])
 
-    return F.coalesce(*[attempt(rule) for rule in rules])
+    def readable(found: Column) -> Column:
+        return first_of(F.filter(F.transform(found, lambda h: read(h)), lambda h: h["value"].isNotNull()))
+
+    first = F.coalesce(
+        *[
+            F.when(words.may_match(rule), let(_hit(folded, rule), lambda h: F.when(h["raw"] != "", h)))
+            for rule in patterns
+        ]
+    )
+    return let(
+        first,
+        lambda h: F.when(
+            h.isNotNull(), F.coalesce(readable(F.array(h)), readable(hits(folded, patterns, words)))
+        ),
+    )
 
 
 def first_valid(text: Column, pattern: str, normalizer: Normalizer) -> Column:

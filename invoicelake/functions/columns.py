@@ -3,10 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 
+def per_application(build: Callable) -> Callable:
+    """Keep what ``build`` returns for as long as the application lives.
+
+    Columns are immutable and know nothing of the frames they are used on.
+    Putting a large one together takes thousands of calls to the JVM, so the
+    large ones are made once and used by every query.
+    """
+    kept: dict = {}
+
+    @wraps(build)
+    def cached(*args):
+        context = SparkContext._active_spark_context
+        key = (context.applicationId, context.startTime, args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return cached
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it several times in ``body``."""
     return F.transform(F.array(value), lambda x: body(x))[0]

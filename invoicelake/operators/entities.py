@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from invoicelake.functions import fixed_values as V
+from invoicelake.functions.columns import per_application
 from invoicelake.functions.normalize import detect_currency, normalize_amount, normalize_date, round2
 from invoicelake.functions.text import clean_text, head_lines, strip
 
@@ -56,7 +57,8 @@ def _label(chunk: Column) -> Column:
     )
 
 
-def _annotated(docs: DataFrame) -> DataFrame:
+@per_application
+def _cut() -> Column:
     """Each text as one array of tokens; the first token of a span carries it.
 
     The text is cut into spans and single tokens in one scan, then spans into
@@ -79,7 +81,11 @@ def _annotated(docs: DataFrame) -> DataFrame:
             ),
         )
     )
-    return docs.select("doc_id", cut.alias("cut"))
+    return cut
+
+
+def _annotated(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", _cut().alias("cut"))
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -278,19 +284,28 @@ def evidence(docs: DataFrame, tokens: DataFrame, entities: DataFrame) -> DataFra
             "confidence",
         )
     )
+    return facts.select(*columns, *_read_facts()).groupBy("doc_id").agg(*_evidence_columns())
+
+
+@per_application
+def _read_facts() -> list[Column]:
     kind, text = F.col("kind"), F.col("text")
     dates, money = ["best_DATE", "near_invoice_date", "near_due_date"], ["best_MONEY", "near_total_amount"]
-    read = facts.select(
-        *columns,
+    return [
         F.when(kind.isin(dates), normalize_date(text)).alias("date"),
         F.when(kind.isin(money), normalize_amount(text)).alias("amount"),
         F.when(kind == "best_MONEY", detect_currency(text)).alias("currency"),
-    )
+    ]
+
+
+@per_application
+def _evidence_columns() -> list[Column]:
+    kind = F.col("kind")
     has_date, has_amount = F.col("date").isNotNull(), F.col("amount").isNotNull()
     due = F.when(
         (kind == "near_due_date") & has_date, F.struct(F.col("rank"), F.col("date").alias("value"), "confidence")
     )
-    return read.groupBy("doc_id").agg(
+    return [
         _best(kind == "best_ORG", "text").alias("org"),
         _first((kind == "near_invoice_date") & has_date, "date").alias("date_near"),
         _best((kind == "best_DATE") & has_date, "date").alias("date_best"),
@@ -304,4 +319,4 @@ def evidence(docs: DataFrame, tokens: DataFrame, entities: DataFrame) -> DataFra
         _best((kind == "best_MONEY") & F.col("currency").isNotNull(), "currency")["value"].alias(
             "money_currency"
         ),
-    )
+    ]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from invoicelake.functions import fixed_values as V
 from invoicelake.functions import rules as R
 from invoicelake.functions.cascade import cascade, first_match, first_valid
-from invoicelake.functions.columns import any_true, first_of
+from invoicelake.functions.columns import any_true, first_of, per_application
 from invoicelake.functions.line_items import ITEM_TYPE, line_items
 from invoicelake.functions.normalize import (
     ascii_digits,
@@ -153,22 +153,29 @@ def _cascade_or_null(doc_type: DocType, field: str, build) -> Column:
     return (build() if wanted else F.lit(None)).cast(typed)
 
 
-def rule_candidates(docs: DataFrame, doc_type: DocType = INVOICE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """What the rules find in each text, as one small row per document."""
-    rules = doc_type.rules()
-    words = R.Words(rules, (*_TOTAL_LINE_WORDS, *_ITEM_HEADER_WORDS, *_NET_WORDS))
+def _words(doc_type: DocType) -> R.Words:
+    return R.Words(doc_type.rules(), (*_TOTAL_LINE_WORDS, *_ITEM_HEADER_WORDS, *_NET_WORDS))
+
+
+@per_application
+def _prepared_columns(doc_type: DocType) -> list[tuple[str, Column]]:
+    clean, folded = F.col("clean_text"), F.col("_folded")
+    return [
+        ("clean_text", clean_text(F.col("raw_text"))),
+        ("_folded", fold(clean)),
+        ("_has", _words(doc_type).column(folded)),
+    ]
+
+
+@per_application
+def _rule_columns(doc_type: DocType) -> list[Column]:
+    """Everything that is looked for in every text."""
+    words = _words(doc_type)
     clean, folded = F.col("clean_text"), F.col("_folded")
 
     def guarded(literals: tuple[str, ...], value: Column) -> Column:
         return F.when(any_true([words.has(w) for w in literals]), value)
 
-    prepared = (
-        docs.select("doc_id", *keep, F.coalesce(F.col("raw_text"), F.lit("")).alias("raw_text"))
-        .withColumn("clean_text", clean_text(F.col("raw_text")))
-        .withColumn("_folded", fold(clean))
-        .withColumn("_has", words.column(folded))
-    )
-
     number = _cascade_or_null(
         doc_type,
         "invoice_number",
@@ -198,11 +205,7 @@ def rule_candidates(docs: DataFrame, doc_type: DocType = INVOICE, keep: tuple[st
     items = guarded(_ITEM_HEADER_WORDS, line_items(F.col("raw_text")))
     no_items = F.array().cast(ITEM_TYPE)
 
-    ruled = prepared.select(
-        "doc_id",
-        *keep,
-        "clean_text",
-        "_folded",
+    return [
         raw_text_length(F.col("raw_text")).alias("raw_text_length"),
         number.alias("number"),
         date.alias("date"),
@@ -214,24 +217,19 @@ def rule_candidates(docs: DataFrame, doc_type: DocType = INVOICE, keep: tuple[st
             "net_days"
         ),
         (F.coalesce(items, no_items) if doc_type.has("line_items") else no_items).alias("items"),
-    )
+    ]
+
+
+@per_application
+def _fallback_columns(doc_type: DocType) -> list[Column]:
+    """What is looked for only where the rules found nothing."""
+    clean, folded = F.col("clean_text"), F.col("_folded")
 
     def fallback(field: str, missing: Column, value: Column, dtype: str) -> Column:
         return F.when(missing, value) if doc_type.has(field) else F.lit(None).cast(dtype)
 
     no_label = F.col("label").isNull()
-    return ruled.select(
-        "doc_id",
-        *keep,
-        "raw_text_length",
-        "number",
-        "date",
-        "due",
-        "total",
-        "label",
-        "line_currency",
-        "net_days",
-        "items",
+    return [
         fallback(
             "invoice_date", F.col("date").isNull(), first_valid(folded, folded_pattern(V.DATE_ANYWHERE), normalize_date), "date"
         ).alias("any_date"),
@@ -240,7 +238,19 @@ def rule_candidates(docs: DataFrame, doc_type: DocType = INVOICE, keep: tuple[st
         ).alias("text_currency"),
         fallback("vendor_name", no_label, suffix_line(clean), "string").alias("suffix_line"),
         fallback("vendor_name", no_label, first_name_line(clean), "string").alias("first_line"),
-    )
+    ]
+
+
+_CANDIDATES = ("raw_text_length", "number", "date", "due", "total", "label", "line_currency", "net_days", "items")
+
+
+def rule_candidates(docs: DataFrame, doc_type: DocType = INVOICE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What the rules find in each text, as one small row per document."""
+    prepared = docs.select("doc_id", *keep, F.coalesce(F.col("raw_text"), F.lit("")).alias("raw_text"))
+    for name, column in _prepared_columns(doc_type):
+        prepared = prepared.withColumn(name, column)
+    ruled = prepared.select("doc_id", *keep, "clean_text", "_folded", *_rule_columns(doc_type))
+    return ruled.select("doc_id", *keep, *_CANDIDATES, *_fallback_columns(doc_type))
 
 
 # --- Step 2 -------------------------------------------------------------------
@@ -330,10 +340,9 @@ def _resolved_number() -> Column:
     )
 
 
-def resolve(candidates: DataFrame, doc_type: DocType = INVOICE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Candidates, with or without evidence, to result rows."""
-    if "evidence" not in candidates.columns:
-        candidates = candidates.withColumn("evidence", F.lit(None).cast(EVIDENCE_TYPE))
+@per_application
+def _picks(doc_type: DocType) -> tuple[dict[str, Column], dict[str, Column]]:
+    """The fields; the due date comes second, as it may need the invoice date."""
     picks = {
         "vendor_name": _resolved_vendor(),
         "invoice_number": _resolved_number(),
@@ -349,8 +358,14 @@ def resolve(candidates: DataFrame, doc_type: DocType = INVOICE, keep: tuple[str,
         if doc_type.has("due_date")
         else _pick(F.lit(None), 0.0, "none", "date")
     )
-    picked = candidates.withColumns({"p_" + name: pick for name, pick in picks.items()})
-    picked = picked.withColumns({"p_due_date": due, "items_total": items_total(F.col("items"))})
+    return (
+        {"p_" + name: pick for name, pick in picks.items()},
+        {"p_due_date": due, "items_total": items_total(F.col("items"))},
+    )
+
+
+@per_application
+def _result_columns(doc_type: DocType) -> list[Column]:
 
     def part(field: str, name: str) -> Column:
         return F.col("p_" + field)[name]
@@ -363,9 +378,7 @@ def resolve(candidates: DataFrame, doc_type: DocType = INVOICE, keep: tuple[str,
         "confidence": F.struct(*[part(f, "confidence").alias(f) for f in V.FIELDS]),
         "source": F.struct(*[part(f, "source").alias(f) for f in V.FIELDS]),
     }
-    return picked.select(
-        "doc_id",
-        *keep,
+    return [
         F.lit(doc_type.name).alias("document_type"),
         *[column.alias(name) for name, column in structs.items()],
         overall_confidence([part(f, "confidence") for f in V.FIELDS]).alias("overall_confidence"),
@@ -373,8 +386,17 @@ def resolve(candidates: DataFrame, doc_type: DocType = INVOICE, keep: tuple[str,
             date_warning(part("invoice_date", "value"), part("due_date", "value")),
             sum_warning(part("total_amount", "value"), F.col("items_total")),
         ).alias("extraction_warnings"),
-        "raw_text_length",
-    )
+        F.col("raw_text_length"),
+    ]
+
+
+def resolve(candidates: DataFrame, doc_type: DocType = INVOICE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Candidates, with or without evidence, to result rows."""
+    if "evidence" not in candidates.columns:
+        candidates = candidates.withColumn("evidence", F.lit(None).cast(EVIDENCE_TYPE))
+    for picks in _picks(doc_type):
+        candidates = candidates.withColumns(picks)
+    return candidates.select("doc_id", *keep, *_result_columns(doc_type))
 
 
 # --- R1 -----------------------------------------------------------------------
