@@ -308,8 +308,8 @@ SELECT doc_id, trim(regexp_replace(regexp_replace({_UNIX}, '[ \t]+', ' ', 'g'),
 SELECT doc_id, CAST(len(l) AS INT) AS n_lines, coalesce(array_to_string(l[1:10], chr(10)), '') AS head FROM cut""",
     "vendor_fallback": rf"""WITH {_PROSE}, cut AS (SELECT doc_id, str_split(t, chr(10)) AS l FROM prose)
 SELECT doc_id,
-  left(list_filter(l[1:30], x -> regexp_matches(x, '{_SUFFIX}'))[1], 120) AS suffix_line,
-  left(list_filter(list_transform(l[1:10], x -> trim(x)), x -> length(x) >= 4 AND NOT regexp_full_match(x, '[\d\s\-/.:,]+')
+  left(list_filter(l[1:30], lambda x: regexp_matches(x, '{_SUFFIX}'))[1], 120) AS suffix_line,
+  left(list_filter(list_transform(l[1:10], lambda x: trim(x)), lambda x: length(x) >= 4 AND NOT regexp_full_match(x, '[\d\s\-/.:,]+')
     AND NOT regexp_matches(x, '(?i)^(?:invoice|bill|receipt|date|to:|from:|ref)'))[1], 120) AS first_line
 FROM cut""",
     "currency_scan": rf"""WITH {_PROSE}, found AS (
@@ -319,13 +319,13 @@ SELECT doc_id, CASE WHEN m.word <> '' THEN CASE lower(m.word) WHEN 'rs' THEN 'IN
   ELSE CASE m.sign WHEN '$' THEN 'USD' WHEN '£' THEN 'GBP' WHEN '€' THEN 'EUR' WHEN '₹' THEN 'INR' WHEN '¥' THEN 'JPY' END
   END AS currency FROM found""",
     "date_fallback": rf"""WITH {_PROSE}, found AS (
-  SELECT doc_id, list_transform(regexp_extract_all(t, '{_ANY_DATE}'), x -> CAST(try_strptime(x, {_DATE_FORMATS}) AS DATE))
+  SELECT doc_id, list_transform(regexp_extract_all(t, '{_ANY_DATE}'), lambda x: CAST(try_strptime(x, {_DATE_FORMATS}) AS DATE))
     AS d FROM prose)
-SELECT doc_id, list_filter(d, x -> x IS NOT NULL AND year(x) BETWEEN 1990 AND 2100)[1] AS any_date FROM found""",
+SELECT doc_id, list_filter(d, lambda x: x IS NOT NULL AND year(x) BETWEEN 1990 AND 2100)[1] AS any_date FROM found""",
     "token_counts": rf"""WITH {_PROSE}, cut AS (
   SELECT doc_id, regexp_extract_all(t,
     '\p{{N}}+(?:[-/''#.,]\p{{N}}+)+|[\p{{L}}\p{{N}}_]+(?:[-/''#][\p{{L}}\p{{N}}_]+)*|\S') AS k FROM prose)
-SELECT doc_id, CAST(len(k) AS BIGINT) AS n_tokens, CAST(list_sum(list_transform(k, x -> length(x))) AS BIGINT) AS n_chars,
+SELECT doc_id, CAST(len(k) AS BIGINT) AS n_tokens, CAST(list_sum(list_transform(k, lambda x: length(x))) AS BIGINT) AS n_chars,
   CAST(len(k) - 1 AS INT) AS last_tok FROM cut WHERE len(k) > 0""",
 }
 
@@ -382,7 +382,7 @@ def _files(source: str) -> str:
     return f"""
 src AS ({source}),
 files AS (
-  SELECT *, key % 11 AS at,
+  SELECT *, key % 11 AS slot,
     (key // 11) % 9 = 0 AND key % 11 = 0 AS locked, (key // 11) % 9 = 1 AS broken,
     CASE key % 11 WHEN 0 THEN 'scan.pdf' WHEN 1 THEN 'photo.JPG' WHEN 2 THEN 'page.png' WHEN 3 THEN 'fax.tiff'
       WHEN 4 THEN 'letter.docx' WHEN 5 THEN 'bundle.zip' WHEN 6 THEN 'setup.pdf' WHEN 7 THEN 'memo.DOCX'
@@ -395,9 +395,9 @@ files AS (
   FROM src
 ), admitted AS (
   SELECT *,
-    CASE WHEN at = 9 THEN 400 WHEN size > 10485760 THEN 413 WHEN at IN (5, 6, 8) THEN 415 WHEN locked THEN 401
+    CASE WHEN slot = 9 THEN 400 WHEN size > 10485760 THEN 413 WHEN slot IN (5, 6, 8) THEN 415 WHEN locked THEN 401
       WHEN broken THEN 422 ELSE 200 END AS status,
-    CASE WHEN size > 10485760 THEN 413 WHEN at IN (5, 6, 8, 9) THEN 415 WHEN locked THEN 401 WHEN broken THEN 500
+    CASE WHEN size > 10485760 THEN 413 WHEN slot IN (5, 6, 8, 9) THEN 415 WHEN locked THEN 401 WHEN broken THEN 500
       ELSE 200 END AS upload_status,
     CASE WHEN mime IS NULL THEN 'Cannot detect file type for ''' || name || '''. Ensure the file is not corrupted.'
       ELSE 'File type ''' || mime || ''' is not supported. Allowed types: {_ALLOWED}' END AS bad_type
@@ -449,7 +449,7 @@ tabs AS (
 """
 _RECORDS = f"""WITH {_CONV_FILES}, {_PAGES}, records AS (
   SELECT key AS doc_id, name AS filename,
-    CASE loader WHEN 'image' THEN CASE at WHEN 1 THEN 'jpg' WHEN 2 THEN 'png' WHEN 3 THEN 'tiff' ELSE 'webp' END
+    CASE loader WHEN 'image' THEN CASE slot WHEN 1 THEN 'jpg' WHEN 2 THEN 'png' WHEN 3 THEN 'tiff' ELSE 'webp' END
       ELSE loader END AS file_type,
     CASE loader WHEN 'pdf' THEN n_pages ELSE 1 END AS page_count, CAST(length(raw_text) AS INT) AS char_count, raw_text AS text
   FROM accepted JOIN page_texts ON key = page_texts.doc_id)
@@ -474,7 +474,7 @@ SELECT doc_id, count(*) AS page_count, count(*) FILTER (native) AS native_pages,
     "assembled_blocks": f"WITH {_BLOCKS} SELECT doc_id, raw_text FROM block_texts",
     "file_metadata": f"""WITH {_CONV_FILES}, {_PAGES}, {_BLOCKS}
 SELECT key AS doc_id, CASE loader WHEN 'pdf' THEN coalesce(n_pages, 0) ELSE 1 END AS page_count,
-  CASE loader WHEN 'image' THEN CASE at WHEN 1 THEN 'jpg' WHEN 2 THEN 'png' WHEN 3 THEN 'tiff' ELSE 'webp' END
+  CASE loader WHEN 'image' THEN CASE slot WHEN 1 THEN 'jpg' WHEN 2 THEN 'png' WHEN 3 THEN 'tiff' ELSE 'webp' END
     ELSE loader END AS file_type,
   CAST(size AS BIGINT) AS file_size_bytes, CASE WHEN loader = 'docx' THEN n_para END AS paragraph_count,
   CASE WHEN loader = 'docx' THEN n_tables END AS table_count, CASE WHEN loader = 'pdf' THEN key % 22 = 0 END AS is_encrypted
