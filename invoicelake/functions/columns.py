@@ -34,8 +34,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), lambda x: body(x))[0]
 
 
-def blank_to_null(c: Column) -> Column:
-    return let(c, lambda x: F.when(x != "", x))
+def pinned(value: Column) -> Column:
+    """Keep a costly column where it is computed.
+
+    The optimizer writes filters, also those it infers for an explode, in terms
+    of a projection's inputs and moves them below it, so all that the filter
+    reads would be computed twice.  It does not do so for columns that depend on
+    the partition, as this one formally does.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def first_of(items: Column) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from invoicelake.functions import fixed_values as V
-from invoicelake.functions.columns import per_application
+from invoicelake.functions.columns import per_application, pinned
 from invoicelake.functions.normalize import detect_currency, normalize_amount, normalize_date, round2
 from invoicelake.functions.text import clean_text, head_lines, strip
 
@@ -85,7 +85,7 @@ def _cut() -> Column:
 
 
 def _annotated(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", _cut().alias("cut"))
+    return docs.select("doc_id", pinned(_cut()).alias("cut"))
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -101,7 +101,8 @@ def tag_entities(docs: DataFrame) -> DataFrame:
         lambda t, i: F.struct(i.alias("start_tok"), t["label"].alias("label"), t["text"].alias("text")),
     )
     spans = F.filter(numbered, lambda t: t["label"].isNotNull())
-    rows = _annotated(docs).select("doc_id", F.posexplode(spans).alias("ent_no", "e"))
+    found = _annotated(docs).select("doc_id", pinned(spans).alias("spans"))
+    rows = found.select("doc_id", F.posexplode("spans").alias("ent_no", "e"))
     return rows.select("doc_id", "ent_no", "e.start_tok", "e.label", "e.text")
 
 

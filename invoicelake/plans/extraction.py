@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from invoicelake.functions import fixed_values as V
 from invoicelake.functions import rules as R
 from invoicelake.functions.cascade import cascade, first_match, first_valid
-from invoicelake.functions.columns import any_true, first_of, per_application
+from invoicelake.functions.columns import any_true, first_of, per_application, pinned
 from invoicelake.functions.line_items import ITEM_TYPE, line_items
 from invoicelake.functions.normalize import (
     ascii_digits,
@@ -216,7 +216,7 @@ def _rule_columns(doc_type: DocType) -> list[Column]:
         (guarded(_NET_WORDS, net_days(folded)) if doc_type.has("due_date") else F.lit(None).cast("int")).alias(
             "net_days"
         ),
-        (F.coalesce(items, no_items) if doc_type.has("line_items") else no_items).alias("items"),
+        (pinned(F.coalesce(items, no_items)) if doc_type.has("line_items") else no_items).alias("items"),
     ]
 
 
@@ -359,8 +359,8 @@ def _picks(doc_type: DocType) -> tuple[dict[str, Column], dict[str, Column]]:
         else _pick(F.lit(None), 0.0, "none", "date")
     )
     return (
-        {"p_" + name: pick for name, pick in picks.items()},
-        {"p_due_date": due, "items_total": items_total(F.col("items"))},
+        {"p_" + name: pinned(pick) for name, pick in picks.items()},
+        {"p_due_date": pinned(due), "items_total": items_total(F.col("items"))},
     )
 
 
