@@ -31,11 +31,11 @@ EVIDENCE_TYPE = (
 _TOKEN = r"\p{N}+(?:[-/'#.,]\p{N}+)+|[\p{L}\p{N}_]+(?:[-/'#][\p{L}\p{N}_]+)*|\S"
 _DATE_SPAN = (
     r"(?<![\w.,/-])(?:\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}|\d{4}[/-]\d{2}[/-]\d{2}|\d{1,2} (?:"
-    + V.MONTHS + r") \d{4}|(?:" + V.MONTHS + r") \d{1,2},? \d{4})(?![\w/-])"
+    + V.MONTHS + r") \d{4}|(?:" + V.MONTHS + r") \d{1,2},? \d{4})(?![\w/-]|[.,]\d)"
 )
 _MONEY_SPAN = (
     r"(?:[\$£€₹¥]|\b(?:" + "|".join(V.CURRENCY_CODES) + r")\b) ?"
-    r"(?:\d{1,3}(?: \d{3})+(?!\d)(?:[,.]\d{1,2})?|\d+(?:[,.]\d{2,3})*(?:[,.]\d{1,2})?)"
+    r"(?:\d{1,3}(?: \d{3})+(?!\d)(?:[,.]\d{1,2})?|\d+(?:[,.]\d{2,3})*(?:[,.]\d{1,2})?)(?![.,]?\d)"
 )
 _ORG_SPAN = (
     r"\b\p{Lu}[\w#&'.-]*(?: \p{Lu}[\w#&'.-]*)* "
