@@ -41,7 +41,7 @@ _ORG_SPAN = (
     r"\b\p{Lu}[\w#&'.-]*(?: \p{Lu}[\w#&'.-]*)* "
     r"(?:Ltd|Limited|Inc|LLC|LLP|Corp|Corporation|GmbH|PLC|AG|BV)\b\.?"
 )
-_NUMBER_SPAN = r"(?<![\w.,#/-])\d+(?:[.,]\d+)*(?![\w#/-])"
+_NUMBER_SPAN = r"(?<![\w.,#/-])\d+(?:[.,]\d+)*(?![\w#/'-]|[.,]\d)"
 _SPAN = "(?U)" + "|".join([_DATE_SPAN, _MONEY_SPAN, _ORG_SPAN, _NUMBER_SPAN, _TOKEN])
 
 
