@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from invoicelake.llm.bpe import bpe_decode, bpe_encode
+from invoicelake.llm.oracles import ORACLES  # noqa: F401
+from invoicelake.llm.quality import BASE, ledger, passes
 
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -28,8 +30,21 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        (F.col("failed_bits").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"),
+        passes("v1").alias("kept"),
+        "failed_bits",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op8_quality_ledger": op8_quality_ledger,
 }
-
-ORACLES: dict[str, str] = {}
