@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from invoicelake.llm.bpe import bpe_decode, bpe_encode
+from invoicelake.llm.bpe import bpe_encode
 from invoicelake.llm.common import stored
 
 ORACLE_SQL: str | None = None
@@ -15,8 +15,7 @@ ORACLE_SQL: str | None = None
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its ids and the text that they decode to."""
-    path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe_decode(bpe_encode(docs, path), path)
+    return bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded="decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

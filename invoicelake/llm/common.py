@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes that one Arrow batch holds at most.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 _SCRATCH: dict[str, str] = {}
 
 
@@ -55,7 +55,7 @@ def with_columns_by(
 ) -> DataFrame:
     """`df` with columns that `compute` makes of one column; columns of the same name are replaced.
 
-    All other columns pass as they are. `compute` gets slices of at most BATCH_BYTES of text, or one longer text.
+    All other columns pass as they are. `compute` gets slices of about 1 MB of text, or one longer text.
     """
     small_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
@@ -72,7 +72,7 @@ def with_columns_by(
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, at: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, at: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have about `limit` bytes."""
     import pyarrow.compute as pc
 
@@ -129,7 +129,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         _POWERS["up"], _POWERS["down"] = _powers(_BASE, size), _powers(pow(_BASE, -1, 2**64), size)
     return _POWERS["up"][:n], _POWERS["down"][:n]
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from invoicelake.llm.bpe import bpe_decode, bpe_encode
+from invoicelake.llm.bpe import bpe_encode
 from invoicelake.llm.oracles import ORACLES  # noqa: F401
 from invoicelake.llm.quality import BASE, ledger, passes
 
@@ -20,9 +20,8 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(WORD_TOKENIZER)
-    coded = bpe_encode(documents(spark, sf_dir), path)
-    return bpe_decode(coded, path).select(
+    coded = bpe_encode(documents(spark, sf_dir), public_tokenizers.path(WORD_TOKENIZER), decoded="decoded")
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
