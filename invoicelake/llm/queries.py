@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from invoicelake.llm.bpe import bpe_encode
 from invoicelake.llm.oracles import ORACLES  # noqa: F401
 from invoicelake.llm.quality import BASE, ledger, passes
+from invoicelake.llm.secrets import BASE_KINDS, count_of, joined, scan_secrets
+from invoicelake.llm.toxicity import THRESHOLD, held_out, score_toxicity, train_on_tables
 
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -29,6 +31,26 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(documents(spark, sf_dir))
+    counts = [count_of(kind, "secrets").cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    base = F.filter("secrets", lambda s: s["kind"].isin(*BASE_KINDS))
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans")
+    )
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = train_on_tables(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs, model).select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger(documents(spark, sf_dir)).select(
         "doc_id",
@@ -45,5 +67,7 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op4_secret_spans": op4_secret_spans,
+    "op5_toxicity": op5_toxicity,
     "op8_quality_ledger": op8_quality_ledger,
 }
