@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from invoicelake.llm.bpe import bpe_encode
+from invoicelake.llm.neardup import near_duplicates
 from invoicelake.llm.oracles import ORACLES  # noqa: F401
 from invoicelake.llm.quality import BASE, ledger, passes
 from invoicelake.llm.secrets import BASE_KINDS, count_of, joined, scan_secrets
@@ -31,6 +32,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(documents(spark, sf_dir))
     counts = [count_of(kind, "secrets").cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
@@ -67,6 +72,7 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_near_duplicates": op2_near_duplicates,
     "op4_secret_spans": op4_secret_spans,
     "op5_toxicity": op5_toxicity,
     "op8_quality_ledger": op8_quality_ledger,
