@@ -46,12 +46,14 @@ def _byte_characters() -> list[str]:
 class Vocabulary:
     """A tokenizer file of the `tokenizers` library, kinds byte-level BPE and BPE with word ends."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = True) -> None:
+        """`special`: whether special tokens within a text are cut out of it, or are text like any other."""
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
         vocabulary: dict[str, int] = model["vocab"]
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = added if special else {}
         self.folds = spec["normalizer"] is not None
         self.pattern = _WORD_ENDS if self.folds else _BYTE_LEVEL
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
@@ -59,9 +61,9 @@ class Vocabulary:
         characters = _byte_characters()
         self.inner = np.array([vocabulary[c] for c in characters], np.int64)
         self.final = np.array([vocabulary[c + end] for c in characters], np.int64)
-        self.size = max([*vocabulary.values(), *self.special.values()]) + 1
+        self.size = max([*vocabulary.values(), *added.values()]) + 1
         self.tokens = [""] * self.size
-        for token, number in [*vocabulary.items(), *self.special.items()]:
+        for token, number in [*vocabulary.items(), *added.items()]:
             self.tokens[number] = token
         pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
         left, right = (np.array([vocabulary[p[k]] for p in pairs], np.int64) for k in (0, 1))
@@ -275,14 +277,14 @@ class Encoder:
         self.ids = self.ids[: int(self.sizes.sum())]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this worker for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(Vocabulary(path))
-    return _ENCODERS[path]
+def encoder(path: str, special: bool = True) -> Encoder:
+    """The encoder of this worker for a tokenizer file (see Vocabulary)."""
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = Encoder(Vocabulary(path, special))
+    return _ENCODERS[path, special]
 
 
 def decode_ids(vocabulary: Vocabulary, ids: pa.Array) -> pa.Array:

@@ -37,3 +37,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits
 FROM bits
 """
+
+ORACLES["op7_shards"] = """
+WITH rows AS (
+    SELECT doc_id, strlen(text)::INTEGER AS n_bytes,
+           ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS address
+    FROM documents
+), levels AS (
+    SELECT depth::INTEGER AS depth, address >> (60 - depth)::BIGINT AS prefix, sum(coalesce(n_bytes, 0))::BIGINT AS bytes
+    FROM rows, range(0, 61) d(depth) GROUP BY ALL
+), placed AS (
+    SELECT r.doc_id, r.n_bytes, l.depth, l.prefix, l.bytes, row_number() OVER (PARTITION BY r.k ORDER BY l.depth) AS place
+    FROM (SELECT row_number() OVER () AS k, * FROM rows) r
+    JOIN levels l ON l.prefix = r.address >> (60 - l.depth)::BIGINT
+    WHERE l.bytes <= 1048576 OR l.depth = 60
+)
+SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE right(repeat('0', 60) || bin(prefix), depth) END AS shard,
+       depth AS shard_depth, bytes AS shard_bytes
+FROM placed WHERE place = 1
+"""

@@ -13,9 +13,14 @@ from invoicelake.llm.neardup import near_duplicates
 from invoicelake.llm.oracles import ORACLES  # noqa: F401
 from invoicelake.llm.quality import BASE, ledger, passes
 from invoicelake.llm.secrets import BASE_KINDS, count_of, joined, scan_secrets
+from invoicelake.llm.sharding import shards
+from invoicelake.llm.tokencount import token_counts
+from invoicelake.llm.tokenfile import read_token_files, write_token_files
 from invoicelake.llm.toxicity import THRESHOLD, held_out, score_toxicity, train_on_tables
 
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
+#: The id that closes documents in token files, the one that separates them in flat files, bytes of a shard.
+END_ID, SEPARATOR, SHARD_BYTES = 2, 49407, 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -36,6 +41,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(documents(spark, sf_dir), public_tokenizers.path(BYTE_TOKENIZER), END_ID)
+    return read_token_files(spark, files)
+
+
 def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(documents(spark, sf_dir))
     counts = [count_of(kind, "secrets").cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
@@ -56,6 +66,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", F.octet_length("text").alias("n_bytes"))
+    return shards(rows, SHARD_BYTES, "doc_id", F.col("n_bytes"))
+
+
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger(documents(spark, sf_dir)).select(
         "doc_id",
@@ -70,10 +85,17 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path(WORD_TOKENIZER), SEPARATOR)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_token_files": op3_token_files,
     "op4_secret_spans": op4_secret_spans,
     "op5_toxicity": op5_toxicity,
+    "op7_shards": op7_shards,
     "op8_quality_ledger": op8_quality_ledger,
+    "op10_token_counts": op10_token_counts,
 }
