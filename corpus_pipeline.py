@@ -1,4 +1,4 @@
-"""The training-data pipeline: documents in, encoded clean documents out."""
+"""The training-data pipeline: documents in, clean and encoded documents out."""
 
 from __future__ import annotations
 
@@ -6,24 +6,58 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from invoicelake.llm.bpe import bpe_encode
 from invoicelake.llm.common import stored
+from invoicelake.llm.decontaminate import without_leaks
+from invoicelake.llm.neardup import one_of_each
+from invoicelake.llm.secrets import redact
+from invoicelake.llm.toxicity import THRESHOLD, score_toxicity, train_on_tables
 
+#: SQL can't express a trained score, so none is given; the tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity stays below the threshold."""
+    model = train_on_tables(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = score_toxicity(docs, model, into="__toxicity")
+    return scored.where(F.col("__toxicity") < THRESHOLD).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest doc_id."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its secrets replaced by their kind; n_chars follows the text."""
+    clean = redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its ids and the text that they decode to."""
     return bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded="decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
     ("encode", encode),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over `documents`, each written as Parquet and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)

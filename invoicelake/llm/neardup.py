@@ -302,3 +302,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         found.alias("component_id"),
         F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """`docs` with one row of each group of near-duplicates: that of the smallest doc_id.
+
+    Rows without a doc_id stay, and so do texts without words. Of rows that repeat a doc_id one stays.
+    """
+    found = stored(near_duplicates(docs), "near-duplicates")
+    gone = stored(found.where("NOT kept").select("doc_id").distinct(), "dropped")
+    out = beside(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return out
+    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))

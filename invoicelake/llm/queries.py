@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from invoicelake.llm.bpe import bpe_encode
+from invoicelake.llm.decontaminate import leaks
 from invoicelake.llm.neardup import near_duplicates
 from invoicelake.llm.oracles import ORACLES  # noqa: F401
 from invoicelake.llm.quality import BASE, ledger, passes
@@ -85,6 +86,10 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(WORD_TOKENIZER), SEPARATOR)
 
@@ -97,5 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op7_shards": op7_shards,
     "op8_quality_ledger": op8_quality_ledger,
+    "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_token_counts": op10_token_counts,
 }
