@@ -12,6 +12,7 @@ from invoicelake.llm.bpe import bpe_encode
 from invoicelake.llm.decontaminate import leaks
 from invoicelake.llm.neardup import near_duplicates
 from invoicelake.llm.oracles import ORACLES  # noqa: F401
+from invoicelake.llm.passages import repeated_passages
 from invoicelake.llm.quality import BASE, ledger, passes
 from invoicelake.llm.secrets import BASE_KINDS, count_of, joined, scan_secrets
 from invoicelake.llm.sharding import shards
@@ -67,6 +68,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("doc_id", F.octet_length("text").alias("n_bytes"))
     return shards(rows, SHARD_BYTES, "doc_id", F.col("n_bytes"))
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_secret_spans": op4_secret_spans,
     "op5_toxicity": op5_toxicity,
+    "op6_repeated_passages": op6_repeated_passages,
     "op7_shards": op7_shards,
     "op8_quality_ledger": op8_quality_ledger,
     "op9_benchmark_leaks": op9_benchmark_leaks,
