@@ -319,7 +319,9 @@ def bpe_encode(
         return [lists, decode_ids(tool.vocabulary, lists)] if decoded else [lists]
 
     fields = [T.StructField(into, T.ArrayType(T.IntegerType(), True))]
-    return with_columns_by(docs, text, fields + [T.StructField(decoded, T.StringType())] * bool(decoded), compute)
+    if decoded:
+        fields.append(T.StructField(decoded, T.StringType()))
+    return with_columns_by(docs, text, fields, compute)
 
 
 def bpe_decode(docs: DataFrame, tokenizer: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

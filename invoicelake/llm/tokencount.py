@@ -118,7 +118,7 @@ def count_flat_files(spark: SparkSession, folder: str, separator: int) -> DataFr
         .withColumn("final", F.max("piece").over(whole) == F.col("piece"))
     )
     joined = pieces.drop("n").join(scanned, ["stream", "piece"])
-    closed = joined.select(
+    closed = joined.where("found > 0").select(
         "stream", "base", "ordinal", "open", F.posexplode(F.arrays_zip("places", F.concat(F.array(F.lit(None).cast("int")), F.slice("places", F.lit(1), F.greatest(F.size("places") - 1, F.lit(0)))).alias("before"))).alias("k", "at")
     ).select(
         "stream",

@@ -149,11 +149,14 @@ def write_token_files(
                 ids, starts = tool.encode(part.column(1).to_pylist())
                 sizes = np.diff(starts) + 1
                 closed = np.insert(ids, starts[1:], end_id).astype(f"u{width}")
-                if counts and sum(counts) + len(closed) > file_tokens:
-                    flush()
-                names += part.column(0).to_pylist()
-                counts += sizes.tolist()
-                blocks.append(closed)
+                ends, docs_of = np.cumsum(sizes), part.column(0).to_pylist()
+                cuts = np.flatnonzero(np.diff(ends // file_tokens)) + 1  # documents from which a file may start
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True):
+                    if counts and sum(counts) + int(sizes[a:b].sum()) > file_tokens:
+                        flush()
+                    names += docs_of[a:b]
+                    counts += sizes[a:b].tolist()
+                    blocks.append(closed[ends[a] - sizes[a] : ends[b - 1]])
         flush()
         if made:
             columns = list(zip(*made, strict=True))
