@@ -11,11 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from invoicelake.functions.columns import per_application
-from invoicelake.sources.readers import read_text_corpus, spread
+from invoicelake.sources.readers import read_text_corpus
 
-# Items on one invoice; an order with more lines is spread over several.
-ITEMS_PER_SHEET = 40
-SHEET_STEP = 2**40
 
 DIGITS = {
     "num": (1, 6), "dat": (6, 8), "due": (48, 6), "amt": (288, 5), "cur": (1440, 5),
@@ -36,13 +33,10 @@ def _cents(amount: Column) -> Column:
     return F.round(amount * 100).cast("bigint")
 
 
-def _order_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _billed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per invoice: the order's figures and its lines, sorted.
 
-    Lines are counted first, so an order with very many of them is cut into
-    sheets of bounded size before any list is built, and the sheet number is
-    part of the partitioning key.  The partition count is set because what
-    follows costs far more time per byte than sizes alone would tell.
+    The lines of an order end up in one text, hence in one value.
     """
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag",
@@ -52,23 +46,12 @@ def _order_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("k"), "o_custkey", F.to_date("o_orderdate").alias("odate"),
         _cents(F.col("o_totalprice")).alias("total_cents"),
     )
-    counts = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n_lines"))
-    heads = orders.join(counts, "k", "left")
-    sheets = F.ceil(F.col("n_lines") / ITEMS_PER_SHEET)
-    mixed = F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.col("l_linenumber") + F.col("cents")
     line = F.struct("l_partkey", "l_suppkey", "l_linenumber", "qty", "cents", "l_returnflag")
-    billed = (
-        lines.join(heads.filter(F.col("n_lines").isNotNull()), F.col("l_orderkey") == F.col("k"))
-        .withColumn("doc_id", F.col("k") + F.lit(SHEET_STEP) * (mixed % sheets))
-        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-        .groupBy("doc_id", "k", "o_custkey", "odate", "total_cents")
-        .agg(F.array_sort(F.collect_list(line)).alias("items"))
+    items = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(line)).alias("items"))
+    none = F.array().cast(items.schema["items"].dataType)
+    return orders.join(items, "k", "left").select(
+        F.col("k").alias("doc_id"), "k", "o_custkey", "odate", "total_cents", F.coalesce("items", none).alias("items")
     )
-    unbilled = heads.filter(F.col("n_lines").isNull()).select(
-        F.col("k").alias("doc_id"), "k", "o_custkey", "odate", "total_cents",
-        F.array().cast(billed.schema["items"].dataType).alias("items"),
-    )
-    return billed.unionByName(unbilled)
 
 
 def _grouped(digits: Column, size: int, mark: str) -> Column:
@@ -190,13 +173,12 @@ def _invoice_text() -> Column:
 
 def rendered_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table docs(doc_id, raw_text): one text per invoice."""
-    return _order_sheets(spark, sf_dir).select("doc_id", _invoice_text().alias("raw_text"))
+    return _billed_orders(spark, sf_dir).select("doc_id", _invoice_text().alias("raw_text"))
 
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given documents as docs(doc_id, raw_text)."""
-    docs = read_text_corpus(spark, f"{sf_dir}/documents.parquet")
-    return spread(docs)
+    return read_text_corpus(spark, f"{sf_dir}/documents.parquet")
 
 
 def messy_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +220,7 @@ def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(
             F.array(
                 F.struct(F.lit(0).alias("cell_no"), F.when(blank, F.lit("")).otherwise(F.col("role")).alias("text")),
-                F.struct(F.lit(1).alias("cell_no"), F.when(blank, F.lit(" ")).otherwise(F.left(text, F.lit(40))).alias("text")),
+                F.struct(F.lit(1).alias("cell_no"), F.when(blank, F.lit(" ")).otherwise(text).alias("text")),
                 F.struct(F.lit(2).alias("cell_no"), turn.cast("string").alias("text")),
             )
         ).alias("c"),

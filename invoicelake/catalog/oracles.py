@@ -11,12 +11,10 @@ from __future__ import annotations
 TRUTH = """
 WITH li AS (
   SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag,
-         CAST(l_quantity AS BIGINT) AS qty, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
-         count(*) OVER (PARTITION BY l_orderkey) AS n_lines
+         CAST(l_quantity AS BIGINT) AS qty, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents
   FROM lineitem
 ), it AS (
-  SELECT *, l_orderkey + 1099511627776 *
-         ((l_partkey * 31 + l_suppkey * 17 + l_linenumber + cents) % ((n_lines + 39) // 40)) AS doc_id
+  SELECT *, l_orderkey AS doc_id
   FROM li
 ), g AS (
   SELECT doc_id, l_orderkey AS k, min(l_suppkey) AS supp, sum(cents) AS sub_cents, count(*) AS n_items
@@ -180,9 +178,7 @@ FROM long GROUP BY field
     + """
 , pairs AS (
   SELECT t.*, o.k AS want_key, o.odate AS want_date FROM
-    (SELECT doc_id AS id, * FROM truth) t FULL JOIN (SELECT k, odate, number, total_amount FROM truth WHERE doc_id = k
-      UNION ALL SELECT k, any_value(odate), any_value(number), any_value(total_amount) FROM truth GROUP BY k
-        HAVING count(*) FILTER (doc_id = k) = 0) o
+    (SELECT doc_id AS id, * FROM truth) t FULL JOIN (SELECT k, odate, number, total_amount FROM truth) o
     ON t.id = o.k
 ), cmp AS (
   SELECT 'vendor_name' AS field, vendor_name AS got, CAST(NULL AS VARCHAR) AS want FROM pairs
@@ -211,7 +207,14 @@ FROM truth
 SELECT doc_id, 'receipt' AS document_type, CASE WHEN num = 2 THEN number END AS invoice_number, invoice_date,
   CAST(NULL AS DATE) AS due_date, total_amount, CAST(n_items AS INT) AS n_items FROM truth
 """,
-    "result_sink": TRUTH + "SELECT doc_id, invoice_number, invoice_date, total_amount FROM truth",
+    "result_sink": TRUTH
+    + """
+SELECT doc_id, 'invoice' AS document_type, vendor_name, invoice_number, invoice_date, due_date, total_amount, currency,
+  c_vendor_name, c_invoice_number, c_invoice_date, c_due_date, c_total_amount, c_currency, CAST(n_items AS INT) AS n_items,
+  overall_confidence,
+  CAST(date_warning IS NOT NULL AS INT) + CAST(sum_warning IS NOT NULL AS INT) AS n_warnings
+FROM truth
+""",
     "report_format": TRUTH
     + """
 , shown AS (
@@ -435,8 +438,8 @@ paras AS (
 ), rws AS (
   SELECT conv_id AS doc_id, turn // 2 AS tbl, turn % 2 AS rw,
     CASE WHEN (conv_id + turn) % 5 = 0 THEN CAST(turn AS VARCHAR)
-         ELSE role || ' | ' || CASE WHEN trim(left(text, 40), ' ' || chr(10)) <> ''
-           THEN trim(left(text, 40), ' ' || chr(10)) || ' | ' ELSE '' END || CAST(turn AS VARCHAR) END AS line
+         ELSE role || ' | ' || CASE WHEN trim(text, ' ' || chr(10)) <> ''
+           THEN trim(text, ' ' || chr(10)) || ' | ' ELSE '' END || CAST(turn AS VARCHAR) END AS line
   FROM conversations WHERE conv_id % 2 = 0
 ), tbls AS (SELECT doc_id, tbl, string_agg(line, chr(10) ORDER BY rw) || chr(10) AS t FROM rws GROUP BY 1, 2),
 tabs AS (
@@ -447,12 +450,20 @@ tabs AS (
   FROM paras LEFT JOIN tabs ON paras.doc_id = tabs.doc_id
 )
 """
-_RECORDS = f"""WITH {_CONV_FILES}, {_PAGES}, records AS (
+_RECORDS = f"""WITH {_CONV_FILES}, {_PAGES}, {_BLOCKS}, whole AS (
+  SELECT doc_id, page_texts.raw_text AS pages_text, block_texts.raw_text AS blocks_text, n_pages, n_para, n_tables
+  FROM page_texts JOIN block_texts USING (doc_id)
+), texts AS (
+  SELECT accepted.*, whole.*, CASE loader WHEN 'docx' THEN blocks_text ELSE pages_text END AS raw_text
+  FROM accepted JOIN whole ON key = whole.doc_id
+), records AS (
   SELECT key AS doc_id, name AS filename,
     CASE loader WHEN 'image' THEN CASE slot WHEN 1 THEN 'jpg' WHEN 2 THEN 'png' WHEN 3 THEN 'tiff' ELSE 'webp' END
       ELSE loader END AS file_type,
-    CASE loader WHEN 'pdf' THEN n_pages ELSE 1 END AS page_count, CAST(length(raw_text) AS INT) AS char_count, raw_text AS text
-  FROM accepted JOIN page_texts ON key = page_texts.doc_id)
+    CASE loader WHEN 'pdf' THEN n_pages ELSE 1 END AS page_count, CAST(length(raw_text) AS INT) AS char_count, raw_text AS text,
+    CAST(size AS BIGINT) AS file_size_bytes, CASE WHEN loader = 'docx' THEN n_para END AS paragraph_count,
+    CASE WHEN loader = 'docx' THEN n_tables END AS table_count, CASE WHEN loader = 'pdf' THEN key % 22 = 0 END AS is_encrypted
+  FROM texts)
 """
 
 ORACLES |= {
@@ -479,7 +490,7 @@ SELECT key AS doc_id, CASE loader WHEN 'pdf' THEN coalesce(n_pages, 0) ELSE 1 EN
   CAST(size AS BIGINT) AS file_size_bytes, CASE WHEN loader = 'docx' THEN n_para END AS paragraph_count,
   CASE WHEN loader = 'docx' THEN n_tables END AS table_count, CASE WHEN loader = 'pdf' THEN key % 22 = 0 END AS is_encrypted
 FROM accepted LEFT JOIN page_texts ON key = page_texts.doc_id LEFT JOIN block_texts ON key = block_texts.doc_id""",
-    "intake_records": f"{_RECORDS} SELECT doc_id, filename, file_type, page_count, char_count, text FROM records",
+    "intake_records": f"{_RECORDS} SELECT * FROM records",
     "merged_results": f"""{_RECORDS}
 SELECT doc_id, filename, char_count, char_count AS raw_text_length, 'invoice' AS document_type FROM records""",
     "pipeline_results": f"""WITH {_CONV_FILES}, {_PAGES}, {_BLOCKS}

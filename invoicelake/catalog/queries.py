@@ -26,7 +26,7 @@ from invoicelake.functions.text import clean_text, fields_found, head_lines, lin
 from invoicelake.operators import assembly, entities as E, intake, reports
 from invoicelake.operators.rule_hits import best_rule, rule_hits, rule_report
 from invoicelake.plans.extraction import RECEIPT, extract_documents, extract_invoices, first_name_line, suffix_line
-from invoicelake.plans.pipeline import run_pipeline
+from invoicelake.plans.pipeline import assembled_texts, run_pipeline
 from invoicelake.sources.readers import read_text_corpus
 from invoicelake.sources.writers import write_quarantine, write_results
 from invoicelake.streaming.extract import stream_extract
@@ -41,8 +41,12 @@ def query(build: Query) -> Query:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for one run: in the cluster's shared folder if it names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="invoicelake-")
+    """A new folder for one run in the cluster's shared folder; only a local session may do without one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="invoicelake-")
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
@@ -158,7 +162,11 @@ def reconcile(spark, sf_dir):
 
 @query
 def extract_full(spark, sf_dir):
-    return _results(spark, sf_dir).select(
+    return _shown(_results(spark, sf_dir))
+
+
+def _shown(results: DataFrame) -> DataFrame:
+    return results.select(
         "doc_id",
         "document_type",
         *[F.col("fields")[f].alias(f) for f in V.FIELDS],
@@ -441,6 +449,11 @@ def _metadata(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def _texts(spark: SparkSession, sf_dir: str, files: DataFrame) -> DataFrame:
+    wanted = files.select("doc_id", "loader")
+    return assembled_texts(wanted, C.conversation_pages(spark, sf_dir), C.conversation_blocks(spark, sf_dir))
+
+
 @query
 def file_metadata(spark, sf_dir):
     return _metadata(spark, sf_dir)[1]
@@ -449,16 +462,16 @@ def file_metadata(spark, sf_dir):
 @query
 def intake_records(spark, sf_dir):
     files, metadata = _metadata(spark, sf_dir)
-    texts = assembly.assemble_pages(C.conversation_pages(spark, sf_dir))
-    return intake.intake_record(files, texts, metadata).select(
-        "doc_id", "filename", "file_type", "page_count", "char_count", "text"
+    return intake.intake_record(files, _texts(spark, sf_dir, files), metadata).select(
+        "doc_id", "filename", "file_type", "page_count", "char_count", "text",
+        *[f"metadata.{c}" for c in ("file_size_bytes", "paragraph_count", "table_count", "is_encrypted")],
     )
 
 
 @query
 def merged_results(spark, sf_dir):
     files, metadata = _metadata(spark, sf_dir)
-    texts = assembly.assemble_pages(C.conversation_pages(spark, sf_dir))
+    texts = _texts(spark, sf_dir, files)
     records = intake.intake_record(files, texts, metadata)
     merged = intake.merge_results(records, extract_invoices(texts))
     return merged.select("doc_id", "filename", "char_count", "raw_text_length", "document_type")
@@ -488,7 +501,7 @@ def result_sink(spark, sf_dir):
     results = _results(spark, sf_dir)
     write_results(results, path, fmt="json")
     stored = spark.read.schema(results.schema).json(path)
-    return stored.select("doc_id", "fields.invoice_number", "fields.invoice_date", "fields.total_amount")
+    return _shown(stored)
 
 
 @query

@@ -46,17 +46,13 @@ def _before_stop(stripped: Column) -> Column:
     )
 
 
-_GAP = "\x1f"
-
-
 def _columns(stripped: Column) -> Column:
     """L3: cells between gaps of two or more blanks, or tabs.
 
     A gap takes all white space around it and the lines are stripped, so the
     cells come out stripped and none is empty.
     """
-    marked = F.regexp_replace(F.array_join(stripped, "\n"), V.ITEM_COLUMN_GAP, _GAP)
-    rows = F.transform(F.split(marked, "\n"), lambda x: F.split(x, _GAP))
+    rows = F.transform(stripped, lambda x: F.split(x, V.ITEM_COLUMN_GAP))
     return F.filter(rows, lambda cells: F.size(cells) >= 2)
 
 

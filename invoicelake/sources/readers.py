@@ -50,16 +50,3 @@ def read_files(
         files = files.filter(F.col("length") <= max_bytes)
     extra = ["content"] if keep_content else []
     return files.select("path", "modificationTime", "length", header_of(F.col("content")).alias("header"), *extra)
-
-
-def spread(docs: DataFrame) -> DataFrame:
-    """Small inputs over all cores, large ones as they lie.
-
-    Extraction takes long per byte, so a corpus of one small file should not be
-    left to one task.  A scan with as many splits as there are cores, or more,
-    is not shuffled.
-    """
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() >= cores:
-        return docs
-    return docs.repartition(cores, "doc_id")
