@@ -50,6 +50,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
+def _written(frame: DataFrame, name: str) -> DataFrame:
+    """A table that several steps read, written once."""
+    path = scratch(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_invoices(C.rendered_invoices(spark, sf_dir))
 
@@ -217,8 +224,8 @@ def rule_hit_report(spark, sf_dir):
 
 
 def _tagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = C.rendered_invoices(spark, sf_dir)
-    return docs, E.tokens(docs), E.tag_entities(docs)
+    docs = _written(C.rendered_invoices(spark, sf_dir), "docs")
+    return docs, _written(E.tokens(docs), "tokens"), _written(E.tag_entities(docs), "spans")
 
 
 @query
