@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from invoicelake.llm.common import stored
 
 #: Rows of a few numbers that are broadcast at most; tables of more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def beside(df: DataFrame, table: DataFrame, on: str | list[str], how: str) -> DataFrame:

@@ -56,3 +56,30 @@ SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE right(repeat('0', 60) |
        depth AS shard_depth, bytes AS shard_bytes
 FROM placed WHERE place = 1
 """
+
+ORACLES["op2_near_duplicates"] = r"""
+WITH RECURSIVE cut AS (
+    SELECT doc_id, list_filter(
+        regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, list_slice(words, i, i + 4) AS shingle
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM cut WHERE len(words) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * n_both >= 75 * (x.n + y.n - n_both)
+), reached AS (
+    SELECT doc_id AS node, doc_id AS other FROM documents
+    UNION
+    SELECT node, b FROM reached JOIN links ON other = a
+)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id)
+JOIN (SELECT node, min(other) AS component_id FROM reached GROUP BY node) r ON r.node = d.doc_id
+"""
