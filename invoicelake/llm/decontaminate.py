@@ -18,7 +18,7 @@ WINDOW, LITERALS = 8, 4
 #: Consecutive windows that tell a leak (13 words), or the share of an item's windows, in percent.
 RUN, SHARE = 6, 50
 #: Benchmark windows that every task searches in at most; more of them are joined by a shuffle of all windows.
-SEARCHED = 2_000_000
+SEARCHED = 500_000
 # Words that are units after a number.
 UNITS = (
     "%", "cm", "mm", "km", "m", "ft", "in", "inches", "feet", "meters", "metres", "miles", "kg", "g", "mg", "lb", "lbs",
