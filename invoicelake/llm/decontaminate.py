@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from invoicelake.llm.common import hash_spans, shingles_of, slices, small_batches, stored, text_bytes
+from invoicelake.llm.common import hash_spans, mix, shingles_of, slices, small_batches, stored, text_bytes
 from invoicelake.llm.components import beside
 
 #: Template words of a window, and how many of them must not be placeholders.
@@ -49,6 +49,8 @@ class Templates:
     first: np.ndarray
     end: np.ndarray
     bounds: np.ndarray
+    words: np.ndarray
+    values: np.ndarray
     windows: np.ndarray
     have: np.ndarray
     usable: np.ndarray
@@ -58,10 +60,28 @@ class Templates:
         text = np.repeat(np.arange(len(self.have)), self.have)
         return text, np.arange(len(text)) - np.repeat(np.cumsum(self.have) - self.have, self.have)
 
-    def slots(self, text: int, place: int) -> list[dict]:
+    def searched(self, width: int) -> tuple[np.ndarray, ...]:
+        """Text, place, hash of the windows of `width` words, and whether it is that of the template.
+
+        Where less than LITERALS words are plain, the hash is that of the words with their own values, in lower case. A
+        text of fewer than WINDOW words also has one of the template of the whole text.
+        """
+        windows, have = (self.windows, self.have) if width == WINDOW else shingles_of(self.words, self.bounds, width)
+        own = mix(shingles_of(self.values, self.bounds, width)[0] ^ mix(np.uint64([width])))
+        text = np.repeat(np.arange(len(have)), have)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(have) - have, have)
+        if width == WINDOW:
+            return text, place, np.where(self.usable, windows, own), self.usable
+        literal = np.concatenate(([0], np.cumsum(self.kind == _WORD)))
+        at = self.bounds[text] + place
+        plain = literal[np.minimum(at + width, len(self.kind))] - literal[at] >= LITERALS
+        full = np.diff(self.bounds)[text] >= width
+        return text[full], place[full], np.where(plain, mix(windows ^ np.uint64(width)), own)[full], plain[full]
+
+    def slots(self, text: int, place: int, width: int) -> list[dict]:
         """Placeholders of a window and what stands there."""
         a = self.bounds[text] + place
-        b = min(a + WINDOW, self.bounds[text + 1])
+        b = min(a + width, self.bounds[text + 1])
         return [
             {"kind": KINDS[self.kind[k]], "at": int(k - a), "value": self.raw[self.first[k] : self.end[k]].tobytes().decode("utf-8", "replace")}
             for k in range(a, b)
@@ -118,32 +138,54 @@ def templates(texts: pa.Array, opening_name: bool = False) -> Templates:
     place = bounds[text] + np.arange(len(text)) - np.repeat(np.cumsum(have) - have, have)
     stop = np.minimum(place + WINDOW, bounds[text + 1])
     usable = (literal[stop] - literal[place] >= LITERALS) | (np.diff(bounds)[text] < WINDOW)
-    return Templates(raw, kind, first, end, bounds, windows, have, usable)
+    return Templates(raw, kind, first, end, bounds, words, hashes, windows, have, usable)
 
 
 _SLOTS = "array<struct<kind:string,at:int,value:string>>"
 _SLOTS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("at", pa.int32()), ("value", pa.string())]))
 
 
-def _windows(rows: DataFrame, key: str, wanted: np.ndarray | None, opening_name: bool = False) -> DataFrame:
-    """Usable windows of (key, text): key, place, hash, slots; only those whose hash is `wanted` (sorted), if given."""
+def _windows(
+    rows: DataFrame, key: str, wanted: np.ndarray | None, opening_name: bool = False, widths: list[int] | None = None
+) -> DataFrame:
+    """Windows of (key, text): key, place, hash, slots, template; only those whose hash is `wanted` (sorted), if given.
+
+    Windows have WINDOW words and `widths`; without `widths`, a text of fewer than WINDOW words also has that of its length.
+    `template` is false for windows of own values, which have no slots.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 made = templates(part.column(1), opening_name)
-                keep = made.usable
-                if wanted is not None:
-                    at = np.minimum(np.searchsorted(wanted, made.windows), max(len(wanted) - 1, 0))
-                    keep = keep & (wanted[at] == made.windows) if len(wanted) else np.zeros(len(keep), bool)
-                text, place = (x[keep] for x in made.places())
-                slots = [made.slots(t, p) for t, p in zip(text.tolist(), place.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(text)), pa.array(place), pa.array(made.windows[keep].view(np.int64)), pa.array(slots, _SLOTS_ARROW)],
-                    names=[key, "place", "window", "slots"],
-                )
+                counts = np.diff(made.bounds)
+                short = widths if widths is not None else np.unique(counts[(counts > 0) & (counts < WINDOW)]).tolist()
+                for width in (WINDOW, *short):
+                    text, place, window, plain = made.searched(width)
+                    keep = np.ones(len(window), bool) if widths is not None or width == WINDOW else counts[text] == width
+                    if wanted is not None:
+                        at = np.minimum(np.searchsorted(wanted, window), max(len(wanted) - 1, 0))
+                        keep = keep & (wanted[at] == window) if len(wanted) else np.zeros(len(keep), bool)
+                    text, place, window, plain = (x[keep] for x in (text, place, window, plain))
+                    slots = [made.slots(t, p, width) if q else [] for t, p, q in zip(text.tolist(), place.tolist(), plain.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(text)), pa.array(place), pa.array(window.view(np.int64)), pa.array(slots, _SLOTS_ARROW), pa.array(plain)],
+                        names=[key, "place", "window", "slots", "template"],
+                    )
 
-    return rows.mapInArrow(run, f"{key} bigint, place bigint, window bigint, slots {_SLOTS}")
+    return rows.mapInArrow(run, f"{key} bigint, place bigint, window bigint, slots {_SLOTS}, template boolean")
+
+
+def _lengths(items: DataFrame) -> DataFrame:
+    """Template words of each item that has some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                counts = np.diff(templates(part.column(1)).bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(counts[counts > 0].astype(np.int64))], names=["words"])
+
+    return items.mapInArrow(run, "words bigint")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -155,6 +197,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows in a row match, or windows of SHARE percent of the item; and if its slots are consistent: on that alignment
     each value of the item is replaced by one value, and no two by the same.
 
+    Windows with fewer than LITERALS plain words match with the item's own values only, in any case. Items of fewer than
+    WINDOW words are searched as a whole at their length, so a one-word item is found wherever its word stands. `exact` of
+    windows of own values is true.
+
     Windows of the benchmark are searched within the tasks while there are at most SEARCHED of them; beyond that all
     windows are joined by a shuffle. Groups are by document and item, so no common item makes a large group.
     """
@@ -164,14 +210,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # an item's first word may stand within a sentence of a document
     own = _windows(items, "item_id", None).union(_windows(items, "item_id", None, opening_name=True)).distinct()
     own = stored(own.withColumnsRenamed({"place": "item_place", "slots": "item_slots"}), "benchmark-windows")
-    totals = own.groupBy("item_id").agg(F.countDistinct("item_place").alias("windows"))
+    totals = own.groupBy("item_id").agg(
+        F.countDistinct("item_place").alias("windows"), F.countDistinct(F.when(F.col("template"), F.col("item_place"))).alias("templates")
+    )
+    sizes = _lengths(items).where(F.col("words") < WINDOW).select("words").distinct().collect()  # at most 7
+    widths = sorted(r["words"] for r in sizes)
     few = own.count() <= SEARCHED
     wanted = np.unique(np.array([r[0] for r in own.select("window").distinct().collect()], np.int64).view(np.uint64)) if few else None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     met = stored(
-        beside(_windows(rows, "doc_id", wanted), own, "window", "inner")
+        beside(_windows(rows, "doc_id", wanted, widths=widths), own, ["window", "template"], "inner")
         .withColumn("shift", F.col("place") - F.col("item_place"))
-        .select("doc_id", "item_id", "shift", "item_place", "slots", "item_slots"),
+        .select("doc_id", "item_id", "shift", "item_place", "slots", "item_slots", "template"),
         "met-windows",
     )
     pair, line = ["doc_id", "item_id"], ["doc_id", "item_id", "shift"]
@@ -185,7 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.bool_and(F.col("was") == F.col("now")).alias("exact"),
     )
     # a run of consecutive places has a constant difference of place and rank
-    places = met.groupBy(*line).agg(F.sort_array(F.collect_set("item_place")).alias("places"))  # at most the item's windows
+    places = met.groupBy(*line).agg(F.sort_array(F.collect_set("item_place")).alias("places"), F.countDistinct(F.when(F.col("template"), F.col("item_place"))).alias("plain"))  # at most the item's windows
     steps = F.transform("places", lambda p, k: p - k)
     longest = F.array_max(F.transform(F.array_distinct(steps), lambda d: F.size(F.filter("steps", lambda x: x == d))))
     found = (
@@ -193,7 +243,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .withColumn("run", longest)
         .join(totals, "item_id")
         .withColumn("matched", F.size("places").cast("long"))
-        .where((F.col("run") >= RUN) | (100 * F.col("matched") >= SHARE * F.col("windows")))
+        .where(
+            (F.col("run") >= RUN) | (100 * F.col("matched") >= SHARE * F.col("windows"))
+            | ((F.col("plain") > 0) & (100 * F.col("plain") >= SHARE * F.col("templates")))
+        )
         .select(*line, "windows", "matched")
         .join(one_to_one, line, "left")
         .where("n IS NULL OR (n = `from` AND n = `to`)")

@@ -173,6 +173,18 @@ def test_leaks(spark):
     assert without_leaks(docs, items.limit(0)).count() == len(texts) and leaks(docs.limit(0), items).count() == 0
 
 
+def test_leaks_of_short_and_number_heavy_items(spark):
+    short, sums, names = "What is the capital of France?", "12 + 30 = 42, 7 x 8 = 56, 9 - 4 = 5, 100 / 4 = 25, 3 + 3 = 6", "Anna Berta Carla Dora Emma Frida Greta Hanna Ida"
+    few = "Who wrote Hamlet?"
+    fill = lambda k: " ".join(prose(k, 40))
+    texts = [(100 + k, f"{fill(k)}. {item} {fill(50 + k)}") for k, item in enumerate((short, sums, names, few))]
+    texts += [(200, f"{fill(90)}. {sums.replace('42', '43').replace('56', '57').replace('5,', '6,')} {fill(91)}"), (201, f"{fill(92)}. What is the capital of"), (202, "Who wrote Faust?")]
+    items = spark.createDataFrame(list(enumerate((short, sums, names, few))), "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in leaks(table(spark, texts), items).collect()}
+    assert {k: got.pop(k, None) for k in [(100, 0), (101, 1), (102, 2), (103, 3)]} == dict.fromkeys([(100, 0), (101, 1), (102, 2), (103, 3)], True)
+    assert set(got) <= {(202, 3)}  # the whole document is the template
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs, labels, texts = labelled(spark)
     copies = [(1000, texts[1][1]), (1001, "key password=abcdef0123456789abcdef01 " + " ".join(prose(77, 40))), (1002, ITEM)]
