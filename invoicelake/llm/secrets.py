@@ -28,8 +28,11 @@ BASE_KINDS = KINDS[:3]
 _HINTS = ("passw", "secret", "token", "api")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-_HEX_ANY = re.compile(r"[0-9A-Fa-f]{64,}")
+# the shortest assign, token=abcdef, has 12 bytes
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_HEX_ANY = re.compile(r"[0-9A-Fa-f]{24,}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 # Object identifiers of key types in DER (RSA, EC, Ed25519, X25519).
 _KEY_TYPES = tuple(map(bytes.fromhex, ("06092a864886f70d010101", "06072a8648ce3d0201", "06032b6570", "06032b656e")))
 _SSH_MAGIC = b"openssh-key-v1\0"
@@ -127,6 +130,38 @@ def _base(text: str) -> Iterator[tuple[str, int, int]]:
         yield "hex", m.start(), m.end()
 
 
+def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """Base64 over lines of one length, of 16 or more, with and without a shorter last one: start, end, joined text."""
+    for m in _WRAPPED.finditer(text):
+        lines = list(_LINE.finditer(text, *m.span()))
+        k = 0
+        while k < len(lines):
+            width, first = len(lines[k][0]), k
+            while k < len(lines) and len(lines[k][0]) == width:
+                k += 1
+            if width < 16:
+                continue
+            tail = k < len(lines) and len(lines[k][0]) < width
+            for end in (k + 1, k) if tail else (k,):
+                if end - first > 1:
+                    yield lines[first].start(), lines[end - 1].end(), "".join(x[0] for x in lines[first:end])
+
+
+def _kind_of(data: bytes | None) -> str | None:
+    """What decoded bytes are: a key, or text that holds a secret itself (plain or confirmed), or neither."""
+    if not data:
+        return None
+    if is_private_der(data) or is_private_ssh(data):
+        return "key"
+    try:
+        inner = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    if "".join(inner.split()).isprintable() and (next(_base(inner), None) or next(_confirmed(inner), None)):
+        return "encoded"
+    return None
+
+
 def _confirmed(text: str) -> Iterator[tuple[str, int, int]]:
     """Candidates whose decoded bytes have the structure of a secret."""
     armoured = []
@@ -140,17 +175,14 @@ def _confirmed(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _TOKEN.finditer(text):
             if is_signed_token(m[1], m[2]):
                 yield "jwt", *m.span()
+    for start, end, body in _wrapped(text):
+        if not any(a <= start < b for a, b in armoured) and (kind := _kind_of(_unpack(body))):
+            armoured.append((start, end))
+            yield kind, start, end
     for pattern, unpack in ((_BASE64, _unpack), (_HEX_ANY, lambda x: bytes.fromhex(x[: len(x) // 2 * 2]))):
         for m in pattern.finditer(text):
-            if any(a <= m.start() < b for a, b in armoured):
-                continue
-            data = unpack(m[0])
-            if not data:
-                continue
-            if is_private_der(data) or is_private_ssh(data):
-                yield "key", *m.span()
-            elif data.isascii() and data.decode("ascii").isprintable() and next(_base(data.decode("ascii")), None):
-                yield "encoded", *m.span()
+            if not any(a <= m.start() < b for a, b in armoured) and (kind := _kind_of(unpack(m[0]))):
+                yield kind, *m.span()
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:

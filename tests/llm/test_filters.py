@@ -58,6 +58,20 @@ def test_plain_patterns_drop_what_is_too_short():
     assert find_secrets("to\u212aen: abcdefg") == []  # ASCII letters only
 
 
+def test_decoded_texts_are_scanned_whole():
+    coded = lambda t: base64.b64encode(t.encode()).decode()
+    armour = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.b64encode(RSA).decode() + "\n-----END RSA PRIVATE KEY-----\n"
+    config = "host=a\n\tuser=é\npassword=hunter2hunter2\n" + "x=1\n" * 30
+    for inner in ("password=hunter2\n", "password=hunter2", "token=abcdef", config, armour, f"see {JWT}\n", "é password=hunter2"):
+        text = f"data: {coded(inner)} end"
+        assert ("encoded", 6, len(text) - 4) in find_secrets(text), inner
+    assert "encoded" in [k for k, _, _ in find_secrets("password=hunter2".encode().hex())]
+    lines = "\n  ".join(re.findall(".{1,20}", coded(config)))
+    for after in ("", "\nword more"):
+        assert ("encoded", 2, 2 + len(lines)) in find_secrets("a " + lines + after)
+    assert find_secrets(coded("nothing to hide in here\n")) == []
+
+
 def test_scan_and_redact_columns(spark):
     docs = table(spark, odd_texts() + [(20, "my password=0123456789abcdef01234567 ok")])
     found = {r["doc_id"]: r["secrets"] for r in scan_secrets(docs).collect()}
