@@ -83,3 +83,91 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.component_id, d.doc_i
 FROM documents d LEFT JOIN sizes s USING (doc_id)
 JOIN (SELECT node, min(other) AS component_id FROM reached GROUP BY node) r ON r.node = d.doc_id
 """
+
+ORACLES["op11_hard_negatives"] = """
+WITH rows AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+           list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+ORACLES["op13_merkle_proofs"] = """
+WITH RECURSIVE keyed AS (
+    SELECT row_number() OVER () AS k, doc_id, source, text,
+           CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR END
+           || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+           || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END
+           || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR END AS head,
+           list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+               lambda sum, byte: list_reduce(list_prepend(xor(sum, byte), [0, 0, 0, 0, 0, 0, 0, 0]),
+                   lambda x, bit: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS crc
+    FROM documents
+), leaves AS (
+    SELECT k, doc_id, source,
+           sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+           CASE WHEN xor(crc, 4294967295) % 5 = 0 AND text IS NOT NULL THEN
+               sha256(head || strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))
+           END AS altered
+    FROM keyed
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, k) - 1 AS place,
+           count(*) OVER (PARTITION BY source) AS n,
+           dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+    FROM leaves
+), own AS (
+    SELECT 0 AS level, tree, place, n, leaf AS hash FROM placed
+    UNION ALL
+    SELECT level + 1, tree, place // 16, (any_value(n) + 15) // 16, sha256(string_agg(hash, '' ORDER BY place))
+    FROM own WHERE n > 1 GROUP BY level, tree, place // 16
+), subroots AS (
+    SELECT tree, level, hash FROM own WHERE n = 1
+), trees AS (
+    SELECT 0 AS level, tree AS place, count(*) OVER () AS n, hash FROM subroots
+    UNION ALL
+    SELECT level + 1, place // 16, (any_value(n) + 15) // 16, sha256(string_agg(hash, '' ORDER BY place))
+    FROM trees WHERE n > 1 GROUP BY level, place // 16
+), steps AS (
+    SELECT tree, level, place, string_agg(hash, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lefts,
+           string_agg(hash, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS rights
+    FROM own WHERE n > 1 WINDOW run AS (PARTITION BY tree, level, place // 16 ORDER BY place)
+    UNION ALL
+    SELECT -1, level, place, string_agg(hash, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+           string_agg(hash, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+    FROM trees WHERE n > 1 WINDOW run AS (PARTITION BY level, place // 16 ORDER BY place)
+), climbs AS (
+    SELECT p.k, p.tree, 0 AS level, p.place, true AS below, '' AS proof,
+            coalesce(p.altered, p.leaf) AS folded
+    FROM placed p
+    UNION ALL
+    SELECT c.k, c.tree, CASE WHEN c.below AND s.level IS NULL THEN 0 ELSE c.level + 1 END,
+           CASE WHEN c.below AND s.level IS NULL THEN c.tree ELSE c.place // 16 END,
+           c.below AND s.level IS NOT NULL,
+           c.proof || CASE WHEN s.level IS NULL THEN '' ELSE coalesce(s.lefts, '') || coalesce(s.rights, '') END,
+           CASE WHEN s.level IS NULL THEN c.folded ELSE sha256(coalesce(s.lefts, '') || c.folded || coalesce(s.rights, '')) END
+    FROM climbs c
+    LEFT JOIN steps s ON s.tree = CASE WHEN c.below THEN c.tree ELSE -1 END AND s.level = c.level AND s.place = c.place
+    WHERE c.below OR s.level IS NOT NULL
+), done AS (
+    SELECT c.k, c.proof, c.folded FROM climbs c
+    WHERE NOT c.below AND NOT EXISTS (SELECT 1 FROM steps s WHERE s.tree = -1 AND s.level = c.level AND s.place = c.place)
+)
+SELECT p.doc_id, p.leaf, r.hash AS subroot, t.hash AS root, sha256(d.proof) AS proof_sha256, d.folded AS folded_root,
+       d.folded = t.hash AS verified
+FROM placed p JOIN done d USING (k) JOIN subroots r USING (tree) JOIN (SELECT hash FROM trees WHERE n = 1) t ON true
+"""

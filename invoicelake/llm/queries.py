@@ -1,4 +1,4 @@
-"""Queries of the ten operators over their whole tables, with production parameters."""
+"""Queries of the operators over their whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from invoicelake.llm.bpe import bpe_encode
+from invoicelake.llm.bytebpe import rank_encode
+from invoicelake.llm.common import crc_of_id
 from invoicelake.llm.decontaminate import leaks
+from invoicelake.llm.hardneg import hard_negatives
+from invoicelake.llm.merkle import fold, merkle_proofs, siblings
 from invoicelake.llm.neardup import near_duplicates
 from invoicelake.llm.oracles import ORACLES  # noqa: F401
 from invoicelake.llm.passages import repeated_passages
@@ -21,6 +25,8 @@ from invoicelake.llm.tokenfile import read_token_files, write_token_files
 from invoicelake.llm.toxicity import THRESHOLD, held_out, score_toxicity, train_on_tables
 
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The id that closes documents in token files, the one that separates them in flat files, bytes of a shard.
 END_ID, SEPARATOR, SHARD_BYTES = 2, 49407, 1 << 20
 
@@ -99,6 +105,39 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(WORD_TOKENIZER), SEPARATOR)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id = F.col("vec_id")
+    label = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), vec_id % 100 == 0, label)
+
+
+def op12_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path(BYTE_RANKS)
+    coded = rank_encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, decoded="decoded")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(crc_of_id() % 5 == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    docs = documents(spark, sf_dir, "doc_id", "source", "lang", "n_chars", "text")
+    proofs = merkle_proofs(docs, altered={"text": tampered})
+    folded = proofs.withColumn("folded_root", fold(F.col("altered_leaf"), F.col("proof")))
+    return folded.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(siblings(F.col("proof")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_near_duplicates": op2_near_duplicates,
@@ -110,4 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_ledger": op8_quality_ledger,
     "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_byte_bpe_round_trip": op12_byte_bpe_round_trip,
+    "op13_merkle_proofs": op13_merkle_proofs,
 }
