@@ -34,8 +34,13 @@ WITH texts AS (
     FROM measured
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits
-FROM bits
+       (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits, rule AS sole_rule,
+       CASE WHEN rule IS NOT NULL THEN (SELECT count(*) FROM bits b WHERE b.failed_bits & bits.failed_bits <> 0) END
+           AS rule_rejected,
+       CASE WHEN rule IS NOT NULL THEN count(*) OVER (PARTITION BY failed_bits) END AS rule_kept_without
+FROM bits LEFT JOIN (VALUES (1, 'too_few_words'), (2, 'too_many_repeats'), (4, 'too_many_symbols'),
+                            (8, 'too_many_equal_lines'), (16, 'words_too_short'), (32, 'words_too_long')) r(bit, rule)
+     ON bit = failed_bits
 """
 
 ORACLES["op7_shards"] = """

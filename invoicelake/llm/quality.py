@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from invoicelake.functions.columns import pinned
+
 # White space between words, symbols that are counted.
 SPACES, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 _SPLIT, _WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
@@ -55,6 +57,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     Null and empty texts have zero words, lines and symbols. Columns of the same names are replaced, others pass.
     n_symbols counts occurrences, n_dup_lines the lines with a word that equal an earlier line, n_repeat_words the
     words covered by 8-word windows found twice or more in the text, the first occurrence included.
+
+    The last measurement is pinned, so a filter on any of them is not moved below, where it would compute them anew
+    for every word.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     kept = docs.columns
@@ -100,6 +105,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     measured = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
     taken = {m.lower() for m in measured}
+    out = out.withColumn("n_repeat_words", pinned(F.col("n_repeat_words")))
     return out.select(*[c for c in kept if c.lower() not in taken], *measured)
 
 
@@ -109,7 +115,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     for k, (_, fails) in enumerate(RULES):
         bit = F.when(fails(), F.lit(1 << k)).otherwise(F.lit(0))
         bits = bit if bits is None else bits.bitwiseOR(bit)
-    return measure(docs, text).withColumn("failed_bits", bits.cast("long"))
+    return measure(docs, text).withColumn("failed_bits", pinned(bits.cast("long")))
 
 
 def passes(policy: str) -> Column:
@@ -117,6 +123,12 @@ def passes(policy: str) -> Column:
     return F.col("failed_bits").bitwiseAND(F.lit(POLICIES[policy])) == 0
 
 
+def sole_rule(policy: str) -> Column:
+    """Name of the rule that alone rejects a document under the policy; null if none or several do."""
+    failed = F.col("failed_bits").bitwiseAND(F.lit(POLICIES[policy]))
+    return F.coalesce(*[F.when(failed == bit, name) for name, bit in BITS.items()])
+
+
 def ablations(book: DataFrame, policies: Sequence[str] = tuple(POLICIES)) -> DataFrame:
     """Per policy and rule of it: how many documents it rejects, and how many would be kept without that rule.
 

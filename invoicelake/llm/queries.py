@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from invoicelake.llm.bpe import bpe_encode
 from invoicelake.llm.bytebpe import rank_encode
-from invoicelake.llm.common import crc_of_id
+from invoicelake.llm.common import crc_of_id, stored
 from invoicelake.llm.decontaminate import leaks
 from invoicelake.llm.hardneg import hard_negatives
 from invoicelake.llm.merkle import fold, merkle_proofs, siblings
 from invoicelake.llm.neardup import near_duplicates
 from invoicelake.llm.oracles import ORACLES  # noqa: F401
 from invoicelake.llm.passages import repeated_passages
-from invoicelake.llm.quality import BASE, ledger, passes
+from invoicelake.llm.quality import BASE, ablations, ledger, passes, sole_rule
 from invoicelake.llm.secrets import BASE_KINDS, count_of, joined, scan_secrets
 from invoicelake.llm.sharding import shards
 from invoicelake.llm.tokencount import token_counts
@@ -84,7 +84,9 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger(documents(spark, sf_dir)).select(
+    book = stored(ledger(documents(spark, sf_dir)).drop("text"), "ledger")
+    cases = ablations(book, ["v1"]).select(F.col("rule").alias("sole_rule"), "rejected", "kept_without_rule")
+    return book.withColumn("sole_rule", sole_rule("v1")).join(F.broadcast(cases), "sole_rule", "left").select(  # a row a rule
         "doc_id",
         "n_words",
         "word_chars",
@@ -94,6 +96,9 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("failed_bits").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"),
         passes("v1").alias("kept"),
         "failed_bits",
+        "sole_rule",
+        F.col("rejected").alias("rule_rejected"),
+        F.col("kept_without_rule").alias("rule_kept_without"),
     )
 
 
