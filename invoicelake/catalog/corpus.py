@@ -36,7 +36,9 @@ def _cents(amount: Column) -> Column:
 def _billed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per invoice: the order's figures and its lines, sorted.
 
-    The lines of an order end up in one text, hence in one value.
+    The lines of an order end up in one text, hence in one value.  The merge join keeps the lines where their
+    grouping has put them and moves the orders there, so texts are rendered by all the tasks of that shuffle;
+    with the lines broadcast they would be rendered by the few tasks that read the orders.
     """
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag",
@@ -49,7 +51,7 @@ def _billed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.struct("l_partkey", "l_suppkey", "l_linenumber", "qty", "cents", "l_returnflag")
     items = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(line)).alias("items"))
     none = F.array().cast(items.schema["items"].dataType)
-    return orders.join(items, "k", "left").select(
+    return orders.hint("merge").join(items, "k", "left").select(
         F.col("k").alias("doc_id"), "k", "o_custkey", "odate", "total_cents", F.coalesce("items", none).alias("items")
     )
 
