@@ -1,6 +1,9 @@
 """Entity evidence (E0-E8): spans scored, matched with keywords, reduced to one row
 per document.
 
+The built-in tagger's evidence is found within the scan (``with_text_evidence``).
+For spans of any other tagger there are joins:
+
 Spans and tokens are tables.  Joins between them use the document *and* the
 token position as key, so a document with very many spans is spread over many
 tasks; everything that picks one row of many is an aggregate, which combines on
@@ -12,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from invoicelake.functions import fixed_values as V
-from invoicelake.functions.columns import per_application, pinned
+from invoicelake.functions.columns import first_of, per_application, pinned
 from invoicelake.functions.normalize import detect_currency, normalize_amount, normalize_date, round2
 from invoicelake.functions.text import clean_text, head_lines, strip
 
@@ -49,43 +52,46 @@ def _label(chunk: Column) -> Column:
     def whole(pattern: str) -> Column:
         return chunk.rlike(r"(?U)\A(?:" + pattern + r")\z")
 
-    return (
+    # all but organisations have a digit, and those have a blank
+    return F.when(
+        chunk.rlike(r"(?U)[\d ]"),
         F.when(whole(_DATE_SPAN), "DATE")
         .when(whole(_MONEY_SPAN), "MONEY")
         .when(whole(_ORG_SPAN), "ORG")
-        .when(whole(_NUMBER_SPAN), "CARDINAL")
+        .when(whole(_NUMBER_SPAN), "CARDINAL"),
     )
 
 
-@per_application
-def _cut() -> Column:
+def _cut(clean: Column) -> Column:
     """Each text as one array of tokens; the first token of a span carries it.
 
     The text is cut into spans and single tokens in one scan, then spans into
     tokens, so positions are array indexes and no row leaves its document.
     """
-    chunks = F.regexp_extract_all(
-        clean_text(F.coalesce(F.col("raw_text"), F.lit(""))), F.lit(_SPAN), F.lit(0)
-    )
-    labelled = F.transform(chunks, lambda c: F.struct(c.alias("text"), _label(c).alias("label")))
-    cut = F.flatten(
-        F.transform(
-            labelled,
-            lambda c: F.transform(
-                F.regexp_extract_all(c["text"], F.lit("(?U)" + _TOKEN), F.lit(0)),
-                lambda t, i: F.struct(
-                    t.alias("token"),
-                    F.when(i == 0, c["label"]).alias("label"),
-                    F.when((i == 0) & c["label"].isNotNull(), c["text"]).alias("text"),
-                ),
+    chunks = F.regexp_extract_all(clean, F.lit(_SPAN), F.lit(0))
+    nothing = F.lit(None).cast("string")
+
+    def cells(c: Column) -> Column:
+        first = F.struct(c["text"].alias("token"), nothing.alias("label"), nothing.alias("text"))
+        parts = F.transform(
+            F.regexp_extract_all(c["text"], F.lit("(?U)" + _TOKEN), F.lit(0)),
+            lambda t, i: F.struct(
+                t.alias("token"), F.when(i == 0, c["label"]).alias("label"), F.when(i == 0, c["text"]).alias("text")
             ),
         )
-    )
-    return cut
+        return F.when(c["label"].isNull(), F.array(first)).otherwise(parts)  # what is no span is one token
+
+    labelled = F.transform(chunks, lambda c: F.struct(c.alias("text"), _label(c).alias("label")))
+    return F.flatten(F.transform(labelled, cells))
+
+
+@per_application
+def _cut_of_raw() -> Column:
+    return _cut(clean_text(F.coalesce(F.col("raw_text"), F.lit(""))))
 
 
 def _annotated(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", pinned(_cut()).alias("cut"))
+    return docs.select("doc_id", pinned(_cut_of_raw()).alias("cut"))
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -131,40 +137,46 @@ def _sum(base: Column | float, *parts: tuple[Column, float]) -> Column:
 def score_orgs(entities: DataFrame, docs: DataFrame) -> DataFrame:
     """Organisations with their confidence."""
     spans = _distinct(_labelled(entities, "ORG"))
-    top = docs.select(
-        "doc_id",
-        F.lower(
-            F.array_join(head_lines(clean_text(F.coalesce("raw_text", F.lit(""))), V.ORG_HEADER_LINES), "\n")
-        ).alias("top"),
+    top = docs.select("doc_id", head_text(clean_text(F.coalesce("raw_text", F.lit("")))).alias("top"))
+    confidence = _org_confidence(F.col("text"), F.coalesce("top", F.lit("")))
+    return spans.join(top, "doc_id", "left").select(
+        "doc_id", "ent_no", F.lit("ORG").alias("label"), "text", confidence.alias("confidence")
     )
-    text, s = F.col("text"), V.ORG_SCORES
+
+
+def head_text(clean: Column) -> Column:
+    return F.lower(F.array_join(head_lines(clean, V.ORG_HEADER_LINES), "\n"))
+
+
+def _org_confidence(text: Column, top: Column) -> Column:
+    s = V.ORG_SCORES
     long = F.length(text) > V.SHORT_ORG_CHARS
-    confidence = _sum(
+    return _sum(
         s["base"],
         (text.rlike(V.ENTITY_ORG_SUFFIX), s["suffix"]),
-        (F.contains(F.coalesce("top", F.lit("")), F.lower(text)), s["header"]),
+        (F.contains(top, F.lower(text)), s["header"]),
         (~long, s["short"]),
         ((text == F.lower(text)) & long, s["lower"]),
     )
-    return spans.join(top, "doc_id", "left").select(
-        "doc_id", "ent_no", F.lit("ORG").alias("label"), "text", confidence.alias("confidence")
-    )
 
 
 def score_dates(entities: DataFrame) -> DataFrame:
     """Absolute dates with their confidence."""
     spans = _distinct(_labelled(entities, "DATE").filter(~F.col("text").rlike(V.ENTITY_RELATIVE_DATE)))
-    text, s = F.col("text"), V.DATE_SCORES
-    confidence = _sum(
+    return spans.select(
+        "doc_id", "ent_no", F.lit("DATE").alias("label"), "text", _date_confidence(F.col("text")).alias("confidence")
+    )
+
+
+def _date_confidence(text: Column) -> Column:
+    s = V.DATE_SCORES
+    return _sum(
         s["base"],
         (text.rlike(V.ENTITY_YEAR), s["year"]),
         (text.rlike(V.ENTITY_MONTH), s["month"]),
         (text.rlike(V.ENTITY_NUMERIC_DATE), s["numeric"]),
         (~text.rlike(r"(?U)\s"), s["one_word"]),
     )
-    return spans.select(
-        "doc_id", "ent_no", F.lit("DATE").alias("label"), "text", confidence.alias("confidence")
-    )
 
 
 def score_money(entities: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -178,16 +190,19 @@ def score_money(entities: DataFrame, tokens: DataFrame) -> DataFrame:
     )
     named = spans.filter(F.col("label") == "MONEY").select(bare.columns)
     kept = _distinct(named.unionByName(bare), "label")
-    text, s = F.col("text"), V.MONEY_SCORES
+    confidence = _money_confidence(F.col("label"), F.col("text"))
+    return kept.select("doc_id", "ent_no", "label", "text", confidence.alias("confidence"))
+
+
+def _money_confidence(label: Column, text: Column) -> Column:
+    s = V.MONEY_SCORES
     mark = text.rlike(V.ENTITY_CURRENCY)
-    base = F.when(F.col("label") == "MONEY", s["money"]).otherwise(s["cardinal"])
-    confidence = _sum(
-        base,
+    return _sum(
+        F.when(label == "MONEY", s["money"]).otherwise(s["cardinal"]),
         (mark, s["currency"]),
         (text.rlike(V.ENTITY_DECIMALS), s["decimals"]),
         (text.rlike(V.ENTITY_SPELLED_OUT) & ~mark, s["spelled_out"]),
     )
-    return kept.select("doc_id", "ent_no", "label", "text", confidence.alias("confidence"))
 
 
 # --- E5, E6: entities behind a keyword ----------------------------------------
@@ -241,17 +256,21 @@ def near_keywords(tokens: DataFrame, entities: DataFrame, keywords: list[tuple]
         F.min(F.struct("tok_no", "start_tok", "text")).alias("hit")
     )
     gap = F.col("hit.start_tok") - F.col("hit.tok_no")
-    bonus = round2((F.col("window") - gap) / F.col("window") * V.NEAR_BONUS)
     return nearest.select(
         "doc_id",
         "kind",
         "kw_no",
         strip(F.col("hit.text")).alias("text"),
         gap.alias("distance"),
-        F.round(F.lit(V.NEAR_BASE) + bonus, 2).alias("confidence"),
+        _near_confidence(gap, F.col("window")).alias("confidence"),
     )
 
 
+def _near_confidence(gap: Column, window: Column) -> Column:
+    bonus = round2((window - gap) / window * V.NEAR_BONUS)
+    return F.round(F.lit(V.NEAR_BASE) + bonus, 2)
+
+
 # --- E7, E8: one row per document ---------------------------------------------
 
 
@@ -321,3 +340,177 @@ def _evidence_columns() -> list[Column]:
             "money_currency"
         ),
     ]
+
+
+# --- E8 in one pass -------------------------------------------------------------
+
+_ADDED = ("_tokens", "_spans", "_keywords", "_orgs", "_dates", "_money", "_org", "_date", "_sum")
+
+
+def with_text_evidence(texts: DataFrame) -> DataFrame:
+    """``texts(.., clean_text)`` with the column ``evidence`` of the built-in tagger.
+
+    What ``evidence`` finds by joins is found within each row, so the texts are
+    read once and nothing leaves the scan.
+    """
+    cut = texts.withColumn("_cut", pinned(_cut_of_clean()))
+    spans = F.transform(
+        "_cut",
+        lambda t, i: F.when(
+            t["label"].isNotNull(),
+            F.struct(i.alias("no"), i.alias("at"), t["label"].alias("label"), strip(t["text"]).alias("text")),
+        ),
+    )
+    placed = cut.withColumns(
+        {
+            "_tokens": pinned(F.transform("_cut", lambda t: t["token"])),
+            "_spans": pinned(F.filter(spans, lambda s: s.isNotNull())),
+            "_top": head_text(F.col("clean_text")),
+        }
+    )
+    return with_row_evidence(placed.drop("_cut")).drop("_top")
+
+
+def tagged_rows(tokens: DataFrame, entities: DataFrame) -> DataFrame:
+    """Tables of a tagger as one row per document: (doc_id, _tokens, _spans).
+
+    ``tok_no`` counts the tokens of a document from 0.  Both tables are only
+    grouped and joined by document, so tables bucketed by it are not shuffled.
+    """
+    token = F.struct("tok_no", "token")
+    span = F.struct(
+        F.col("ent_no").alias("no"), F.col("start_tok").alias("at"), "label", strip(F.col("text")).alias("text")
+    )
+    by_doc = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(token)).alias("_tokens"))
+    spans = entities.groupBy("doc_id").agg(F.array_sort(F.collect_list(span)).alias("_spans"))
+    return by_doc.join(spans, "doc_id").select(
+        "doc_id", F.transform("_tokens", lambda t: t["token"]).alias("_tokens"), "_spans"
+    )
+
+
+def with_row_evidence(rows: DataFrame) -> DataFrame:
+    """Rows with ``_tokens``, ``_spans`` (by number) and ``_top``, the lower-case head lines, with ``evidence``.
+
+    Keywords and spans of a label are merged into one array in order of
+    position; the span nearest behind a keyword is among the next events of
+    it, as many as the window is wide.  The work grows with the tokens.
+    """
+    for stage in _evidence_stages():
+        rows = rows.withColumns({name: pinned(column) for name, column in stage.items()})
+    return rows.drop(*_ADDED, *(f"_near_{label}_{n}" for label, n in _WINDOWS), *(f"_events_{label}" for label, _ in _WINDOWS))
+
+
+_WINDOWS = sorted({(label, window) for *_, label, window in KEYWORDS})
+
+
+@per_application
+def _cut_of_clean() -> Column:
+    return _cut(F.col("clean_text"))
+
+
+@per_application
+def _evidence_stages() -> list[dict[str, Column]]:
+    spans = F.col("_spans")
+    keywords = sorted({word for _, _, word, _, _ in KEYWORDS})
+    words = F.transform("_tokens", lambda t, i: F.struct(i.alias("at"), F.lower(t).alias("word")))
+
+    def texts_of(keep) -> Column:
+        """Each text once, by its first span."""
+        return F.array_distinct(F.transform(F.filter(spans, lambda s: keep(s) & (s["text"] != "")), lambda s: s["text"]))
+
+    def is_amount(s: Column) -> Column:
+        behind_mark = F.get(F.col("_tokens"), s["at"] - 1).rlike(V.ENTITY_CURRENCY)
+        bare = (s["label"] == "CARDINAL") & s["text"].rlike(V.ENTITY_NUMBER_LIKE) & behind_mark
+        return (s["text"] != "") & ((s["label"] == "MONEY") | bare)
+
+    # the first span of each text: its number decides ties, and of amounts its label
+    amounts = F.array_sort(
+        F.transform(
+            F.filter(spans, is_amount),
+            lambda s: F.struct(s["text"].alias("text"), s["no"].alias("no"), s["label"].alias("label")),
+        )
+    )
+    firsts = F.filter("_money", lambda s, i: (i == 0) | (F.get(F.col("_money"), i - 1)["text"] != s["text"]))
+
+    def events(label: str) -> Column:
+        """Keywords and spans of a label by position, a keyword before the span that starts with it."""
+        nothing = F.lit(None).cast("string")
+        marks = F.transform(
+            "_keywords",
+            lambda w: F.struct(w["at"].alias("at"), F.lit(False).alias("is_span"), w["word"].alias("word"), nothing.alias("text")),
+        )
+        ends = F.transform(
+            F.filter(spans, lambda s: s["label"] == label),
+            lambda s: F.struct(s["at"].alias("at"), F.lit(True).alias("is_span"), nothing.alias("word"), s["text"].alias("text")),
+        )
+        return F.array_sort(F.concat(marks, ends))
+
+    def near(label: str, window: int) -> Column:
+        """Keywords with a span in their window: (word, gap, text) of the nearest, by position."""
+        stream = F.col(f"_events_{label}")
+
+        def hit(e: Column, i: Column) -> Column:
+            nearest = first_of(F.filter(F.slice(stream, i + 2, window), lambda x: x["is_span"]))
+            gap = nearest["at"] - e["at"]
+            return F.when(
+                ~e["is_span"] & (gap < window),
+                F.struct(e["word"].alias("word"), gap.alias("gap"), nearest["text"].alias("text")),
+            )
+
+        return F.filter(F.transform(stream, hit), lambda h: h.isNotNull())
+
+    def with_word(word: str):
+        return lambda h: h["word"] == word
+
+    def of_kind(kind: str, read) -> Column:
+        """Values and confidences behind the keywords of a kind that can be read, in the order of the list."""
+        hits = []
+        for _, _, word, label, n in (k for k in KEYWORDS if k[0] == kind):
+            hit = first_of(F.filter(f"_near_{label}_{n}", with_word(word)))
+            hits.append(F.struct(hit["text"].alias("text"), _near_confidence(hit["gap"], F.lit(n)).alias("confidence")))
+        found = F.filter(F.array(*hits), lambda h: h["text"].isNotNull())
+        valued = F.transform(found, lambda h: F.struct(read(h["text"]).alias("value"), h["confidence"].alias("confidence")))
+        return F.filter(valued, lambda h: h["value"].isNotNull())
+
+    def best(scored: Column, value: str) -> Column:
+        """Highest confidence first, the earlier span on a tie."""
+        top = F.array_max(F.filter(scored, lambda s: s[value].isNotNull()))
+        return F.when(top.isNotNull(), F.struct(top[value].alias("value"), top["confidence"].alias("confidence")))
+
+    evidence_row = F.struct(
+        best(F.col("_org"), "text").alias("org"),
+        first_of(of_kind("invoice_date", normalize_date)).alias("date_near"),
+        best(F.col("_date"), "date").alias("date_best"),
+        of_kind("due_date", normalize_date).alias("due_near"),
+        first_of(of_kind("total_amount", normalize_amount)).alias("total_near"),
+        best(F.col("_sum"), "amount").alias("money_best"),
+        best(F.col("_sum"), "currency")["value"].alias("money_currency"),
+    )
+    return [
+        {
+            "_keywords": F.filter(words, lambda w: w["word"].isin(keywords)),
+            "_orgs": texts_of(lambda s: s["label"] == "ORG"),
+            "_dates": texts_of(lambda s: (s["label"] == "DATE") & ~s["text"].rlike(V.ENTITY_RELATIVE_DATE)),
+            "_money": amounts,
+        },
+        {f"_events_{label}": events(label) for label, _ in _WINDOWS},
+        {f"_near_{label}_{n}": near(label, n) for label, n in _WINDOWS},
+        {
+            "_org": F.transform(
+                "_orgs",
+                lambda x, i: F.struct(_org_confidence(x, F.col("_top")).alias("confidence"), (-i).alias("rank"), x.alias("text")),
+            ),
+            "_date": F.transform(
+                "_dates",
+                lambda x, i: F.struct(_date_confidence(x).alias("confidence"), (-i).alias("rank"), normalize_date(x).alias("date")),
+            ),
+            "_sum": F.transform(
+                firsts,
+                lambda s: F.struct(
+                    _money_confidence(s["label"], s["text"]).alias("confidence"), (-s["no"]).alias("rank"),
+                    normalize_amount(s["text"]).alias("amount"), detect_currency(s["text"]).alias("currency"),
+                ),
+            ),
+        },
+        {"evidence": evidence_row.cast(EVIDENCE_TYPE)},
+    ]

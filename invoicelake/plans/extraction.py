@@ -49,7 +49,13 @@ from invoicelake.functions.text import (
     strip,
     total_line,
 )
-from invoicelake.operators.entities import EVIDENCE_TYPE, evidence
+from invoicelake.operators.entities import (
+    EVIDENCE_TYPE,
+    head_text,
+    tagged_rows,
+    with_row_evidence,
+    with_text_evidence,
+)
 
 
 @dataclass(frozen=True)
@@ -244,11 +250,20 @@ def _fallback_columns(doc_type: DocType) -> list[Column]:
 _CANDIDATES = ("raw_text_length", "number", "date", "due", "total", "label", "line_currency", "net_days", "items")
 
 
-def rule_candidates(docs: DataFrame, doc_type: DocType = INVOICE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """What the rules find in each text, as one small row per document."""
+def rule_candidates(
+    docs: DataFrame, doc_type: DocType = INVOICE, keep: tuple[str, ...] = (), tagged: bool = False, head: bool = False
+) -> DataFrame:
+    """What the rules, and with ``tagged`` the built-in tagger, find in each text, as one small row per document.
+
+    ``head`` adds the head lines, which organisations of a given tagger are looked up in.
+    """
     prepared = docs.select("doc_id", *keep, F.coalesce(F.col("raw_text"), F.lit("")).alias("raw_text"))
     for name, column in _prepared_columns(doc_type):
         prepared = prepared.withColumn(name, column)
+    if tagged:
+        prepared, keep = with_text_evidence(prepared), (*keep, "evidence")
+    if head:
+        prepared, keep = prepared.withColumn("_top", head_text(F.col("clean_text"))), (*keep, "_top")
     ruled = prepared.select("doc_id", *keep, "clean_text", "_folded", *_rule_columns(doc_type))
     return ruled.select("doc_id", *keep, *_CANDIDATES, *_fallback_columns(doc_type))
 
@@ -402,32 +417,40 @@ def resolve(candidates: DataFrame, doc_type: DocType = INVOICE, keep: tuple[str,
 # --- R1 -----------------------------------------------------------------------
 
 
+def with_given_evidence(candidates: DataFrame, entities: DataFrame, tokens: DataFrame | None) -> DataFrame:
+    """Candidates (with ``head``) and the evidence of a tagger's tables.
+
+    The tables are grouped by document and joined by it; bucketed by it, they
+    stay where they are and only the candidates move.
+    """
+    if tokens is None:
+        raise ValueError("entities come with the tokens they refer to")
+    return with_row_evidence(candidates.join(tagged_rows(tokens, entities), "doc_id", "left")).drop("_top")
+
+
 def extract_documents(
     docs: DataFrame,
     doc_type: DocType = INVOICE,
     entities: DataFrame | None = None,
     tokens: DataFrame | None = None,
     keep: tuple[str, ...] = (),
+    tagged: bool = False,
 ) -> DataFrame:
     """``docs(doc_id, raw_text)`` to one result row per document.
 
-    ``entities`` and ``tokens`` switch the entity side on; ``keep`` names
-    columns of ``docs`` to carry along.
+    ``entities`` and ``tokens``, the tables of a tagger, switch the entity side
+    on; so does ``tagged``, with the built-in tagger, in the scan that the rules
+    need anyway.  ``keep`` names columns of ``docs`` to carry along.
     """
-    candidates = rule_candidates(docs, doc_type, keep)
+    if tagged and entities is not None:
+        raise ValueError("either tables of a tagger or the built-in one")
+    candidates = rule_candidates(docs, doc_type, keep, tagged, head=entities is not None)
     if entities is not None:
-        if tokens is None:
-            raise ValueError("entities come with the tokens they refer to")
-        found = evidence(docs, tokens, entities)
-        candidates = candidates.join(
-            found.select("doc_id", F.struct(*[c for c in found.columns if c != "doc_id"]).alias("evidence")),
-            "doc_id",
-            "left",
-        )
+        candidates = with_given_evidence(candidates, entities, tokens)
     return resolve(candidates, doc_type, keep)
 
 
 def extract_invoices(
-    docs: DataFrame, entities: DataFrame | None = None, tokens: DataFrame | None = None
+    docs: DataFrame, entities: DataFrame | None = None, tokens: DataFrame | None = None, tagged: bool = False
 ) -> DataFrame:
-    return extract_documents(docs, INVOICE, entities, tokens)
+    return extract_documents(docs, INVOICE, entities, tokens, tagged=tagged)
