@@ -265,3 +265,27 @@ def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("size")
     )
     return _files(convs, F.col("conv_id"), F.col("size").cast("bigint") * 5000)
+
+
+def invoice_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One upload per rendered invoice, of every kind and outcome."""
+    return _files(table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.lit(50_000).cast("bigint"))
+
+
+def invoice_pages(docs: DataFrame) -> DataFrame:
+    """Each text as one page; of every third document it was scanned."""
+    scanned = F.col("doc_id") % 3 == 0
+    return docs.select(
+        "doc_id", F.lit(1).alias("page_no"), F.when(~scanned, F.col("raw_text")).alias("native_text"),
+        F.when(scanned, F.col("raw_text")).alias("ocr_text"),
+    )
+
+
+def invoice_blocks(docs: DataFrame) -> DataFrame:
+    """Each line of a text as one paragraph."""
+    unix = F.replace(F.col("raw_text"), F.lit("\r\n"), F.lit("\n"))
+    none = F.lit(None).cast("int")
+    return docs.select("doc_id", F.posexplode(F.split(unix, "\n")).alias("block_no", "text")).select(
+        "doc_id", F.lit("para").alias("block_kind"), "block_no", none.alias("table_no"), none.alias("row_no"),
+        none.alias("cell_no"), "text",
+    )

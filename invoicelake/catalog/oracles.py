@@ -121,6 +121,72 @@ hits AS (
 )
 """
 
+_ITEMS = """
+items AS (
+  SELECT doc_id, string_agg('Part#' || lpad(CAST(l_partkey AS VARCHAR), CAST(greatest(6, length(CAST(l_partkey AS VARCHAR))) AS INT), '0')
+      || ' ' || l_returnflag || '|' || printf('%.2f', CAST(qty AS DOUBLE)) || '|' || printf('%.2f', ((2 * cents + qty) // (2 * qty)) / 100.0)
+      || '|' || printf('%.2f', cents / 100.0), ';' ORDER BY l_partkey, l_suppkey, l_linenumber, qty, cents, l_returnflag) AS items
+  FROM it GROUP BY doc_id
+)
+"""
+
+
+def _source(field: str) -> str:
+    return f"CASE WHEN c_{field} > 0 THEN 'regex' ELSE 'none' END AS s_{field}"
+
+
+_SHOWN = ", ".join(
+    ["t.doc_id", "'invoice' AS document_type", *_FIELDS, *[f"c_{f}" for f in _FIELDS], *map(_source, _FIELDS)]
+    + ["coalesce(items, '') AS items", "overall_confidence", "concat_ws(';', date_warning, sum_warning) AS warnings"]
+)
+
+# What entities add to a rendered invoice: agreement, the vendor of an unlabelled line, dates and due dates that no rule reads.
+_FUSED = """
+evident AS (
+  SELECT *,
+    CASE WHEN num = 0 THEN CASE WHEN dat < 7 THEN odate ELSE due_said END
+         WHEN dat IN (1, 2) AND due IN (0, 3, 5) THEN due_said WHEN dat < 7 THEN odate
+         WHEN due IN (0, 3, 5) THEN due_said END AS near_date,
+    dat = 7 AND due = 1 AS unread_date
+  FROM truth
+), confident AS (
+  SELECT * EXCLUDE (c_vendor_name, c_invoice_date, c_due_date, c_total_amount, c_currency, overall_confidence, due_date,
+                    date_warning),
+    CASE ven WHEN 0 THEN CAST(0.90 AS DOUBLE) WHEN 1 THEN CAST(0.92 AS DOUBLE) + CAST(0.05 AS DOUBLE)
+      WHEN 2 THEN CAST(0.90 AS DOUBLE) + CAST(0.05 AS DOUBLE) ELSE CAST(0.30 AS DOUBLE) END AS c_vendor_name,
+    CASE ven WHEN 0 THEN 'nlp' WHEN 3 THEN 'regex' ELSE 'regex+nlp' END AS s_vendor_name,
+    CASE WHEN c_invoice_number > 0 THEN 'regex' ELSE 'none' END AS s_invoice_number,
+    CASE WHEN unread_date THEN CASE WHEN num = 0 THEN CAST(0.76 AS DOUBLE) ELSE CAST(0.85 AS DOUBLE) * CAST(0.85 AS DOUBLE) END
+      WHEN near_date = invoice_date THEN least(c_invoice_date + CAST(0.05 AS DOUBLE), 1.0) ELSE c_invoice_date END AS c_invoice_date,
+    CASE WHEN unread_date THEN 'nlp' WHEN invoice_date IS NULL THEN 'none' WHEN near_date = invoice_date THEN 'regex+nlp'
+      ELSE 'regex' END AS s_invoice_date,
+    CASE WHEN due = 3 THEN due_said ELSE due_date END AS due_date,
+    CASE WHEN due = 3 THEN CAST(0.81 AS DOUBLE) ELSE c_due_date END AS c_due_date,
+    CASE WHEN due = 3 THEN 'nlp' WHEN c_due_date > 0 THEN 'regex' ELSE 'none' END AS s_due_date,
+    CASE WHEN cur < 4 THEN least(c_total_amount + CAST(0.05 AS DOUBLE), 1.0) ELSE c_total_amount END AS c_total_amount,
+    CASE WHEN cur < 4 THEN 'regex+nlp' ELSE 'regex' END AS s_total_amount,
+    CASE WHEN c_currency = 0 THEN CAST(0 AS DOUBLE) WHEN sign_on_total_line THEN CAST(0.90 AS DOUBLE)
+      ELSE CAST(0.78 AS DOUBLE) END AS c_currency,
+    CASE WHEN c_currency = 0 THEN 'none' WHEN sign_on_total_line THEN 'regex' ELSE 'nlp' END AS s_currency
+  FROM evident
+), fused AS (
+  SELECT *,
+    CAST(format('{:.2f}',
+      (c_vendor_name + c_invoice_number + c_invoice_date + c_due_date + c_total_amount + c_currency)
+      / (2 + CAST(c_invoice_number > 0 AS INT) + CAST(c_invoice_date > 0 AS INT) + CAST(c_due_date > 0 AS INT)
+           + CAST(c_currency > 0 AS INT))) AS DOUBLE) AS overall_confidence,
+    CASE WHEN due_date < invoice_date THEN 'Consistency check: due_date (' || CAST(due_date AS VARCHAR)
+      || ') is before invoice_date (' || CAST(invoice_date AS VARCHAR) || ') — extraction may be wrong.' END AS date_warning
+  FROM confident
+)
+"""
+_SHOWN_FUSED = ", ".join(
+    ["t.doc_id", "'invoice' AS document_type", *_FIELDS, *[f"c_{f}" for f in _FIELDS], *[f"s_{f}" for f in _FIELDS]]
+    + ["coalesce(items, '') AS items", "overall_confidence", "concat_ws(';', date_warning, sum_warning) AS warnings"]
+)
+_EXTRACTED = f"{TRUTH}, {_ITEMS} SELECT {_SHOWN} FROM truth t LEFT JOIN items USING (doc_id)"
+_EXTRACTED_FUSED = f"{TRUTH}, {_ITEMS}, {_FUSED} SELECT {_SHOWN_FUSED} FROM fused t LEFT JOIN items USING (doc_id)"
+
 ORACLES: dict[str, str] = {
     "invoice_numbers": _field("invoice_number"),
     "invoice_dates": _field("invoice_date"),
@@ -194,26 +260,24 @@ SELECT field, count(*) AS n_docs, count(*) FILTER (got = want) AS n_match, count
   count(*) FILTER (got IS NULL AND want IS NULL) AS n_both_null
 FROM cmp GROUP BY field
 """,
-    "extract_full": TRUTH
-    + """
-SELECT doc_id, 'invoice' AS document_type, vendor_name, invoice_number, invoice_date, due_date, total_amount, currency,
-  c_vendor_name, c_invoice_number, c_invoice_date, c_due_date, c_total_amount, c_currency, CAST(n_items AS INT) AS n_items,
-  overall_confidence,
-  CAST(date_warning IS NOT NULL AS INT) + CAST(sum_warning IS NOT NULL AS INT) AS n_warnings
-FROM truth
-""",
+    "extract_full": _EXTRACTED,
     "receipts": TRUTH
     + """
-SELECT doc_id, 'receipt' AS document_type, CASE WHEN num = 2 THEN number END AS invoice_number, invoice_date,
-  CAST(NULL AS DATE) AS due_date, total_amount, CAST(n_items AS INT) AS n_items FROM truth
+SELECT doc_id, 'receipt' AS document_type, vendor_name, CASE WHEN num = 2 THEN number END AS invoice_number, invoice_date,
+  CAST(NULL AS DATE) AS due_date, total_amount, currency, CAST(n_items AS INT) AS n_items FROM truth
 """,
-    "result_sink": TRUTH
-    + """
-SELECT doc_id, 'invoice' AS document_type, vendor_name, invoice_number, invoice_date, due_date, total_amount, currency,
-  c_vendor_name, c_invoice_number, c_invoice_date, c_due_date, c_total_amount, c_currency, CAST(n_items AS INT) AS n_items,
-  overall_confidence,
-  CAST(date_warning IS NOT NULL AS INT) + CAST(sum_warning IS NOT NULL AS INT) AS n_warnings
-FROM truth
+    "result_sink": _EXTRACTED,
+    "fused_fields": _EXTRACTED_FUSED,
+    "fused_tables": _EXTRACTED_FUSED,
+    "stream_invoices": _EXTRACTED_FUSED,
+    "rule_table_rows": TRUTH
+    + f""", {_HITS}, everything AS (
+  SELECT * FROM hits
+  UNION ALL SELECT doc_id, 'customer', o_custkey, 0.9, 'Customer#' || lpad(CAST(o_custkey AS VARCHAR),
+    CAST(greatest(9, length(CAST(o_custkey AS VARCHAR))) AS INT), '0') FROM truth JOIN orders ON k = o_orderkey
+)
+SELECT doc_id, field, CAST(rule_no AS INT) AS rule_no, CAST(confidence AS DOUBLE) AS confidence, value,
+  CAST(min(rule_no) OVER (PARTITION BY doc_id, field) AS INT) AS winner_no FROM everything
 """,
     "report_format": TRUTH
     + """
@@ -241,12 +305,28 @@ SELECT h.field, CAST(h.rule_no AS INT) AS rule_no, count(*) AS n_hits, count(*)
 FROM hits h JOIN winners w ON h.doc_id = w.doc_id AND h.field = w.field GROUP BY 1, 2
 """,
     "entity_near_keyword": TRUTH
-    + """
-SELECT doc_id, CAST(kw AS INT) AS kw_no, CAST(d AS INT) AS distance,
-  CAST(CASE d WHEN 2 THEN 0.82 WHEN 3 THEN 0.80 ELSE 0.78 END AS DOUBLE) AS confidence, total_amount AS amount
+    + f"""
+, dated AS (
+  SELECT doc_id, 'invoice_date' AS kind, 0 AS kw,
+    CASE WHEN num <> 0 THEN 3 WHEN dat = 2 THEN 5 WHEN dat IN (5, 6) THEN 6 ELSE 7 END AS d,
+    CASE WHEN dat < 7 THEN odate ELSE due_said END AS day
+  FROM truth WHERE (num = 0 AND (dat < 7 OR due IN (0, 1, 3, 5))) OR dat IN (0, 3, 4)
+  UNION ALL SELECT doc_id, 'invoice_date', 1, 2, CASE WHEN dat IN (1, 2, 7) THEN due_said ELSE odate END
+    FROM truth WHERE dat IN (0, 3, 4, 5, 6) OR due IN (0, 3, 5)
+  UNION ALL SELECT doc_id, 'invoice_date', 2, 3, odate FROM truth WHERE dat = 1
+  UNION ALL SELECT doc_id, 'invoice_date', 3, 1, odate FROM truth WHERE dat = 2
+  UNION ALL SELECT doc_id, 'due_date', 0, 3, due_said FROM truth WHERE due IN (0, 3, 5)
+  UNION ALL SELECT doc_id, 'due_date', 1, 3, due_said FROM truth WHERE due = 1
+)
+SELECT doc_id, 'total_amount' AS kind, CAST(kw AS INT) AS kw_no, CAST(d AS INT) AS distance,
+  CAST(CASE d WHEN 2 THEN 0.82 WHEN 3 THEN 0.80 ELSE 0.78 END AS DOUBLE) AS confidence, {_AMOUNT_TEXT} AS value
 FROM truth JOIN (VALUES (0, 0, 2), (0, 1, 3), (1, 0, 4), (1, 2, 2), (2, 2, 2), (3, 2, 2), (4, 3, 2), (5, 0, 2))
   v(t, kw, d) ON tot = t
 WHERE cur < 4
+UNION ALL
+SELECT doc_id, kind, CAST(kw AS INT), CAST(d AS INT),
+  CAST(CASE d WHEN 1 THEN 0.84 WHEN 2 THEN 0.83 WHEN 3 THEN 0.81 WHEN 5 THEN 0.79 WHEN 6 THEN 0.78 ELSE 0.76 END AS DOUBLE),
+  CAST(day AS VARCHAR) FROM dated
 """,
     "entity_scores": TRUTH
     + f"""
@@ -257,20 +337,12 @@ UNION ALL SELECT doc_id, 'DATE', CAST(odate AS VARCHAR), CAST(CASE WHEN dat IN (
 UNION ALL SELECT doc_id, 'DATE', CAST(due_said AS VARCHAR), CAST(CASE WHEN due = 1 THEN 0.85 ELSE 0.75 END AS DOUBLE)
   FROM truth WHERE due_said IS NOT NULL
 """,
-    "fused_fields": TRUTH
+    "total_lines": TRUTH
     + """
-SELECT doc_id, vendor_name, total_amount, currency,
-  CASE ven WHEN 0 THEN CAST(0.90 AS DOUBLE) WHEN 1 THEN CAST(0.92 AS DOUBLE) + CAST(0.05 AS DOUBLE)
-    WHEN 2 THEN CAST(0.90 AS DOUBLE) + CAST(0.05 AS DOUBLE) ELSE CAST(0.30 AS DOUBLE) END AS c_vendor_name,
-  CASE WHEN cur < 4 THEN least(c_total_amount + CAST(0.05 AS DOUBLE), 1.0) ELSE c_total_amount END AS c_total_amount,
-  CASE WHEN c_currency = 0 THEN CAST(0 AS DOUBLE) WHEN sign_on_total_line THEN CAST(0.90 AS DOUBLE)
-    ELSE CAST(0.78 AS DOUBLE) END AS c_currency,
-  CASE ven WHEN 0 THEN 'nlp' WHEN 3 THEN 'regex' ELSE 'regex+nlp' END AS s_vendor_name,
-  CASE WHEN cur < 4 THEN 'regex+nlp' ELSE 'regex' END AS s_total_amount,
-  CASE WHEN c_currency = 0 THEN 'none' WHEN sign_on_total_line THEN 'regex' ELSE 'nlp' END AS s_currency
-FROM truth
+SELECT doc_id, CASE WHEN sub = 1 AND n_items > 0 THEN 'Subtotal' WHEN tot <> 4 THEN
+  CASE tot WHEN 0 THEN 'Grand Total' WHEN 1 THEN 'Total Amount Due' WHEN 2 THEN 'Amount Due' WHEN 3 THEN 'Balance Due' ELSE 'Total' END
+  END AS label FROM truth
 """,
-    "total_lines": TRUTH + "SELECT doc_id, tot <> 4 OR (sub = 1 AND n_items > 0) AS has_total_line FROM truth",
 }
 
 # --- Texts ------------------------------------------------------------------------
@@ -498,3 +570,16 @@ SELECT key AS doc_id, 'invoice' AS document_type,
   CAST(length(CASE WHEN loader = 'docx' THEN block_texts.raw_text ELSE page_texts.raw_text END) AS INT) AS raw_text_length
 FROM accepted LEFT JOIN page_texts ON key = page_texts.doc_id LEFT JOIN block_texts ON key = block_texts.doc_id""",
 }
+
+
+_INVOICE_FILES = _files("SELECT o_orderkey AS key, 50000 AS size FROM orders")
+_FILE_TYPE = """CASE loader WHEN 'image' THEN CASE slot WHEN 1 THEN 'jpg' WHEN 2 THEN 'png' WHEN 3 THEN 'tiff' ELSE 'webp' END
+  ELSE loader END AS file_type"""
+
+ORACLES |= {
+    "merged_invoices": f"""{TRUTH}, {_ITEMS}, {_INVOICE_FILES}
+SELECT name AS filename, {_FILE_TYPE}, CAST(1 AS BIGINT) AS page_count, {_SHOWN}
+FROM truth t LEFT JOIN items USING (doc_id) JOIN accepted ON key = t.doc_id""",
+    "pipeline_invoices": f"""{TRUTH}, {_ITEMS}, {_FUSED}, {_INVOICE_FILES}
+SELECT {_SHOWN_FUSED} FROM fused t LEFT JOIN items USING (doc_id) JOIN accepted ON key = t.doc_id""",
+}

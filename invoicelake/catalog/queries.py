@@ -25,10 +25,11 @@ from invoicelake.functions.scoring import number_text, tier
 from invoicelake.functions.text import clean_text, fields_found, head_lines, lines, norm_newlines, raw_text_length, total_line
 from invoicelake.operators import assembly, entities as E, intake, reports
 from invoicelake.operators.rule_hits import best_rule, rule_hits, rule_report
+from invoicelake.operators.rule_table import RULES_SCHEMA, rule_table_hits, rules_as_table
 from invoicelake.plans.extraction import RECEIPT, extract_documents, extract_invoices, first_name_line, suffix_line
 from invoicelake.plans.pipeline import assembled_texts, run_pipeline
 from invoicelake.sources.readers import read_text_corpus
-from invoicelake.sources.writers import write_quarantine, write_results
+from invoicelake.sources.writers import bucketed, write_quarantine, write_results
 from invoicelake.streaming.extract import stream_extract
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,15 +173,22 @@ def extract_full(spark, sf_dir):
     return _shown(_results(spark, sf_dir))
 
 
-def _shown(results: DataFrame) -> DataFrame:
+def _shown(results: DataFrame, *more: str) -> DataFrame:
+    """All that a result row holds, nested parts as text."""
+
+    def item(i: Column) -> Column:
+        return F.concat_ws("|", i["description"], *[F.format_string("%.2f", i[c]) for c in ("quantity", "unit_price", "amount")])
+
     return results.select(
         "doc_id",
+        *more,
         "document_type",
         *[F.col("fields")[f].alias(f) for f in V.FIELDS],
         *[F.col("confidence")[f].alias("c_" + f) for f in V.FIELDS],
-        F.size("fields.line_items").alias("n_items"),
+        *[F.col("source")[f].alias("s_" + f) for f in V.FIELDS],
+        F.array_join(F.transform("fields.line_items", item), ";").alias("items"),
         "overall_confidence",
-        F.size("extraction_warnings").alias("n_warnings"),
+        F.array_join("extraction_warnings", ";").alias("warnings"),
     )
 
 
@@ -188,8 +196,8 @@ def _shown(results: DataFrame) -> DataFrame:
 def receipts(spark, sf_dir):
     results = extract_documents(C.rendered_invoices(spark, sf_dir), RECEIPT)
     return results.select(
-        "doc_id", "document_type", "fields.invoice_number", "fields.invoice_date", "fields.due_date",
-        "fields.total_amount", F.size("fields.line_items").alias("n_items"),
+        "doc_id", "document_type", "fields.vendor_name", "fields.invoice_number", "fields.invoice_date", "fields.due_date",
+        "fields.total_amount", "fields.currency", F.size("fields.line_items").alias("n_items"),
     )
 
 
@@ -220,6 +228,23 @@ def rule_hit_report(spark, sf_dir):
     return rule_report(_hits(spark, sf_dir))
 
 
+@query
+def rule_table_rows(spark, sf_dir):
+    """The rules of the library and one more for each customer, as a table."""
+    key = F.col("c_custkey")
+    name = F.concat(F.lit("Customer#"), C.padded(key, 9))
+    own = C.table(spark, sf_dir, "customer").select(
+        F.lit("customer").alias("field"), key.cast("int").alias("rule_no"),
+        F.concat(F.lit(r"(?imU)^bill to:\s*("), name, F.lit(r")$")).alias("pattern"), F.lit(1).alias("group_no"),
+        F.lit(0.9).alias("confidence"), F.lit("name").alias("reads"),
+        F.array(F.array(F.lit("bill")), F.array(name)).alias("needs"),
+    )
+    rules = rules_as_table(spark).unionByName(own.to(rules_as_table(spark, []).schema))
+    return rule_table_hits(C.rendered_invoices(spark, sf_dir), rules).select(
+        "doc_id", "field", "rule_no", "confidence", "value", "winner_no"
+    )
+
+
 # --- Entities -------------------------------------------------------------------
 
 
@@ -232,9 +257,9 @@ def _tagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 def entity_near_keyword(spark, sf_dir):
     _, tokens, spans = _tagged(spark, sf_dir)
     near = E.near_keywords(tokens, spans)
-    return near.filter(F.col("kind") == "total_amount").select(
-        "doc_id", "kw_no", "distance", "confidence", normalize_amount(F.col("text")).alias("amount")
-    )
+    amount = number_text(normalize_amount(F.col("text")))
+    value = F.when(F.col("kind") == "total_amount", amount).otherwise(normalize_date(F.col("text")).cast("string"))
+    return near.select("doc_id", "kind", "kw_no", "distance", "confidence", value.alias("value"))
 
 
 @query
@@ -252,15 +277,25 @@ def entity_scores(spark, sf_dir):
 
 @query
 def fused_fields(spark, sf_dir):
-    docs, tokens, spans = _tagged(spark, sf_dir)
-    fused = extract_invoices(docs, spans, tokens)
-    shown = ("vendor_name", "total_amount", "currency")
-    return fused.select(
-        "doc_id",
-        *[F.col("fields")[f].alias(f) for f in shown],
-        *[F.col("confidence")[f].alias("c_" + f) for f in shown],
-        *[F.col("source")[f].alias("s_" + f) for f in shown],
-    )
+    return _shown(extract_invoices(C.rendered_invoices(spark, sf_dir), tagged=True))
+
+
+@query
+def fused_tables(spark, sf_dir):
+    return _shown(extract_invoices(*_bucketed_tags(spark, sf_dir)))
+
+
+#: Buckets of the entity tables, for the given tables; a bucket should fit a task.
+BUCKETS = 16
+
+
+def _bucketed_tags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rendered invoices, and spans and tokens of a tagger in tables bucketed by document."""
+    docs = _written(C.rendered_invoices(spark, sf_dir), "docs")
+    made = {"spans": E.tag_entities(docs), "tokens": E.tokens(docs)}
+    run = uuid.uuid4().hex
+    kept = {n: bucketed(t, f"{n}_{run}", scratch(spark, n), BUCKETS) for n, t in made.items()}
+    return docs, kept["spans"], kept["tokens"]
 
 
 @query
@@ -304,9 +339,8 @@ def line_counts(spark, sf_dir):
 
 @query
 def total_lines(spark, sf_dir):
-    return C.rendered_invoices(spark, sf_dir).select(
-        "doc_id", total_line(clean_text(F.col("raw_text"))).isNotNull().alias("has_total_line")
-    )
+    line = total_line(clean_text(F.col("raw_text")))
+    return C.rendered_invoices(spark, sf_dir).select("doc_id", F.substring_index(line, ":", 1).alias("label"))
 
 
 @query
@@ -494,6 +528,26 @@ def pipeline_results(spark, sf_dir):
     return run.results.select("doc_id", "document_type", "raw_text_length")
 
 
+@query
+def merged_invoices(spark, sf_dir):
+    docs = _written(C.rendered_invoices(spark, sf_dir), "docs")
+    files = intake.split_admitted(intake.admit(C.invoice_files(spark, sf_dir)))[0]
+    pages, blocks = C.invoice_pages(docs), C.invoice_blocks(docs)
+    texts = assembled_texts(files.select("doc_id", "loader"), pages, blocks)
+    records = intake.intake_record(files, texts, intake.doc_metadata(files, pages, blocks))
+    return _shown(intake.merge_results(records, extract_invoices(texts)), "filename", "file_type", "page_count")
+
+
+@query
+def pipeline_invoices(spark, sf_dir):
+    """Files, pages and blocks to results with the entity tables of a tagger."""
+    docs, spans, tokens = _bucketed_tags(spark, sf_dir)
+    run = run_pipeline(
+        C.invoice_files(spark, sf_dir), C.invoice_pages(docs), C.invoice_blocks(docs), entities=spans, tokens=tokens
+    )
+    return _shown(run.results)
+
+
 @query
 def quarantine_sink(spark, sf_dir):
     path = scratch(spark, "quarantine")
@@ -525,3 +579,16 @@ def stream_results(spark, sf_dir):
     )
     running.awaitTermination()
     return spark.read.parquet(f"{path}/out").select("doc_id", "document_type", "raw_text_length")
+
+
+@query
+def stream_invoices(spark, sf_dir):
+    """Invoices that arrive in three lots, each after the stream was stopped; every start takes up where the last ended."""
+    path = scratch(spark, "stream")
+    lots = _written(C.rendered_invoices(spark, sf_dir).withColumn("lot", F.col("doc_id") % 3), "lots")
+    for lot in range(3):
+        lots.filter(F.col("lot") == lot).drop("lot").write.mode("append").parquet(f"{path}/in")
+        stream_extract(
+            spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", with_entities=True, max_files_per_trigger=4
+        ).awaitTermination()
+    return _shown(spark.read.parquet(f"{path}/out"))

@@ -46,7 +46,11 @@ MONTHS = (
     "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|"
     "Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
 )
-MONTH_ABBREVIATIONS = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTH_NUMBERS = {
+    "jan": "1", "january": "1", "feb": "2", "february": "2", "mar": "3", "march": "3", "apr": "4", "april": "4",
+    "may": "5", "jun": "6", "june": "6", "jul": "7", "july": "7", "aug": "8", "august": "8", "sep": "9",
+    "september": "9", "oct": "10", "october": "10", "nov": "11", "november": "11", "dec": "12", "december": "12",
+}
 
 DATE_NUM = r"(\d{1,2}[/\-\.]\d{1,2}[/\-\.]\d{2,4})"
 DATE_TEXT = r"(\d{1,2}\s+(?:" + MONTHS + r")\s+\d{4})"

@@ -50,27 +50,53 @@ def _reordered(c: Column, order: str) -> Column:
     return iso.try_cast("date")
 
 
-def _month_number(name: Column) -> Column:
-    at = F.instr(F.lit(V.MONTH_ABBREVIATIONS), F.lower(F.substring(name, 1, 3)))
-    return F.when((at - 1) % 3 == 0, ((at + 2) / 3).cast("int"))
+def _dated(year: Column, month_name: Column, day: Column) -> Column:
+    # concat, not concat_ws: an unknown month must make the whole null
+    month = lookup(V.MONTH_NUMBERS, F.lower(month_name))
+    return F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date")
 
 
 def _named_month(c: Column, shape: str, day: int, month: int) -> Column:
-    parts = [
-        F.regexp_extract(c, shape, 3),
-        _month_number(F.regexp_extract(c, shape, month)).cast("string"),
-        F.regexp_extract(c, shape, day),
-    ]
-    # concat, not concat_ws: an unknown month must make the whole null
-    return F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2]).try_cast("date")
+    return _dated(F.regexp_extract(c, shape, 3), F.regexp_extract(c, shape, month), F.regexp_extract(c, shape, day))
 
 
-def _parse_date(c: Column, prefer_dmy: bool) -> Column:
+# Dates as they are written nearly always; each ends with its four digits of the year or starts with them.
+_USUAL_ISO = r"\A\d{4}-\d{1,2}-\d{1,2}\z"
+_USUAL_NUM = r"\A\d{1,2}([-/.])\d{1,2}\1\d{4}\z"
+_USUAL_DAY_MONTH = r"\A\d{1,2} [A-Za-z]{3,9} \d{4}\z"
+_USUAL_MONTH_DAY = r"\A[A-Za-z]{3,9} \d{1,2},? \d{4}\z"
+
+
+def _numeric_date(c: Column, prefer_dmy: bool) -> Column:
     slashed = F.substring_index(c, "/", 2) != c
     dmy, mdy = _reordered(c, "$3-$2-$1"), F.when(slashed, _reordered(c, "$3-$1-$2"))
-    numeric = F.coalesce(dmy, mdy) if prefer_dmy else F.coalesce(mdy, dmy)
+    return F.coalesce(dmy, mdy) if prefer_dmy else F.coalesce(mdy, dmy)
+
+
+def _usual_date(c: Column, prefer_dmy: bool, otherwise: Column) -> Column:
+    """Dates of the usual shapes by plain patterns in compiled code; all others the long way."""
+    low, high = V.DATE_YEARS
+
+    def in_range(year: Column, value: Column) -> Column:
+        return F.when(year.cast("int").between(low, high), value)
+
+    last = F.right(c, F.lit(4))
+    word = F.substring_index(F.substring_index(c, " ", 2), " ", -1)
     return (
-        F.when(c.rlike(_NUM_SHAPE), numeric)
+        F.when(c.rlike(_USUAL_ISO), in_range(F.left(c, F.lit(4)), c.try_cast("date")))
+        .when(c.rlike(_USUAL_NUM), in_range(last, _numeric_date(c, prefer_dmy)))
+        .when(c.rlike(_USUAL_DAY_MONTH), in_range(last, _dated(last, word, F.substring_index(c, " ", 1))))
+        .when(
+            c.rlike(_USUAL_MONTH_DAY),
+            in_range(last, _dated(last, F.substring_index(c, " ", 1), F.rtrim(word, F.lit(",")))),
+        )
+        .otherwise(otherwise)
+    )
+
+
+def _parse_date(c: Column, prefer_dmy: bool) -> Column:
+    return (
+        F.when(c.rlike(_NUM_SHAPE), _numeric_date(c, prefer_dmy))
         .when(c.rlike(_ISO_SHAPE), F.replace(c, F.lit("/"), F.lit("-")).try_cast("date"))
         .when(c.rlike(_DAY_MONTH_YEAR), _named_month(c, _DAY_MONTH_YEAR, 1, 2))
         .when(c.rlike(_MONTH_DAY_YEAR), _named_month(c, _MONTH_DAY_YEAR, 2, 1))
@@ -98,7 +124,8 @@ def normalize_date(c: Column, prefer_dmy: bool = True) -> Column:
             lambda f: F.when(f == r, _parse_date(f, False)).otherwise(_parse_date(f, True)),
         )
 
-    return let(let(raw, read), lambda d: F.when(F.year(d).between(low, high), d))
+    long_way = let(let(raw, read), lambda d: F.when(F.year(d).between(low, high), d))
+    return _usual_date(c, prefer_dmy, long_way)
 
 
 def compute_due_date(invoice_date: Column, days: Column) -> Column:
@@ -146,7 +173,6 @@ def round2(x: Column) -> Column:
     return let(product, decide)
 
 
-_PLAIN = r"^\d{1,12}(?:\.\d{1,2})?$"
 _SPACED = r"(?U)^\d[\d ]*\d(?:[.,]\d+)?$"
 _NUMBER = r"^[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?$"
 
@@ -186,6 +212,25 @@ def parse_numeric(c: Column) -> Column:
     )
 
 
+# An amount as it is written nearly always: a symbol or code, then digits that are plain or grouped in one way.
+_USUAL_AMOUNT = (
+    r"\A(?:[\$£€₹¥] ?|Rs\.? ?|(?:" + _CODES + r") )?("
+    r"\d{1,12}(?:\.\d{1,2})?|\d{1,3}(?:,\d{2,3})*,\d{3}(?:\.\d{1,2})?|\d{1,3}(?:\.\d{3})+,\d{1,2}|\d{1,3}(?: \d{3})+(?:\.\d{1,2})?"
+    r")\z"
+)
+
+
+def _usual_amount(c: Column) -> Column:
+    """Amounts of the usual shapes by one plain pattern in compiled code; null for all others.
+
+    At most two decimals and at most the limit, so there is nothing to round.
+    """
+    number = F.regexp_extract(c, _USUAL_AMOUNT, 1)
+    european = number.rlike(r",\d{1,2}\z")
+    value = F.when(european, F.translate(number, ",.", ".")).otherwise(F.translate(number, ", ", "")).try_cast("double")
+    return F.when(value <= V.AMOUNT_LIMIT, value)
+
+
 def normalize_amount(c: Column) -> Column:
     """Amount string, with or without currency and K or M, to double."""
 
@@ -198,13 +243,7 @@ def normalize_amount(c: Column) -> Column:
     def scale(t: Column) -> Column:
         return F.when(t["factor"].isNull(), t["base"]).otherwise(round2(t["base"] * t["factor"]))
 
-    # most amounts are plain and need none of this
-    return let(
-        c,
-        lambda x: F.when(x.rlike(_PLAIN), x.try_cast("double")).otherwise(
-            let(let(strip_currency(x), read), scale)
-        ),
-    )
+    return F.coalesce(_usual_amount(c), let(let(strip_currency(c), read), scale))
 
 
 # --- Currency ---------------------------------------------------------------
