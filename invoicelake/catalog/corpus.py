@@ -178,6 +178,18 @@ def rendered_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _billed_orders(spark, sf_dir).select("doc_id", _invoice_text().alias("raw_text"))
 
 
+def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered invoices, every fourth of them with the closing lines of a purchase order."""
+    k = F.col("doc_id")
+    style = F.floor(k / 4) % 2
+    day = F.date_add("odate", 7)
+    delivery = F.when(style == 0, F.date_format(day, "d MMMM yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    closing = F.concat(F.lit("\nPO Number: PO-"), padded(k, 6), F.lit("\nDelivery Date: "), delivery)
+    return _billed_orders(spark, sf_dir).select(
+        "doc_id", F.concat(_invoice_text(), F.when(k % 4 == 1, closing).otherwise("")).alias("raw_text")
+    )
+
+
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given documents as docs(doc_id, raw_text)."""
     return read_text_corpus(spark, f"{sf_dir}/documents.parquet")

@@ -265,6 +265,22 @@ FROM cmp GROUP BY field
     + """
 SELECT doc_id, 'receipt' AS document_type, vendor_name, CASE WHEN num = 2 THEN number END AS invoice_number, invoice_date,
   CAST(NULL AS DATE) AS due_date, total_amount, currency, CAST(n_items AS INT) AS n_items FROM truth
+""",
+    "mixed_types": TRUTH
+    + """
+, typed AS (SELECT *, k % 4 = 1 AS po, CASE WHEN k % 4 = 1 THEN 0.95 ELSE 0 END AS extra FROM truth)
+SELECT doc_id, CASE WHEN po THEN 'purchase_order' ELSE 'invoice' END AS document_type, vendor_name,
+  CASE WHEN NOT po THEN invoice_number END AS invoice_number, CASE WHEN NOT po THEN invoice_date END AS invoice_date,
+  CASE WHEN NOT po THEN due_date END AS due_date, total_amount, currency,
+  CASE WHEN po THEN 'PO-' || lpad(CAST(k AS VARCHAR), CAST(greatest(6, length(CAST(k AS VARCHAR))) AS INT), '0') END AS po_number,
+  CASE WHEN po THEN odate + 7 END AS delivery_date, c_vendor_name,
+  CASE WHEN po THEN CAST(0 AS DOUBLE) ELSE c_invoice_number END AS c_invoice_number,
+  CASE WHEN po THEN CAST(0 AS DOUBLE) ELSE c_invoice_date END AS c_invoice_date,
+  CASE WHEN po THEN CAST(0 AS DOUBLE) ELSE c_due_date END AS c_due_date, c_total_amount, c_currency,
+  CAST(extra AS DOUBLE) AS c_po_number, CAST(extra AS DOUBLE) AS c_delivery_date, CAST(n_items AS INT) AS n_items,
+  CASE WHEN po THEN CAST(format('{:.2f}', (c_vendor_name + c_total_amount + c_currency + CAST(0.95 AS DOUBLE) + CAST(0.95 AS DOUBLE))
+    / (4 + CAST(c_currency > 0 AS INT))) AS DOUBLE) ELSE overall_confidence END AS overall_confidence
+FROM typed
 """,
     "result_sink": _EXTRACTED,
     "fused_fields": _EXTRACTED_FUSED,

@@ -26,7 +26,15 @@ from invoicelake.functions.text import clean_text, fields_found, head_lines, lin
 from invoicelake.operators import assembly, entities as E, intake, reports
 from invoicelake.operators.rule_hits import best_rule, rule_hits, rule_report
 from invoicelake.operators.rule_table import RULES_SCHEMA, rule_table_hits, rules_as_table
-from invoicelake.plans.extraction import RECEIPT, extract_documents, extract_invoices, first_name_line, suffix_line
+from invoicelake.plans.extraction import (
+    INVOICE,
+    PURCHASE_ORDER,
+    RECEIPT,
+    extract_documents,
+    extract_invoices,
+    first_name_line,
+    suffix_line,
+)
 from invoicelake.plans.pipeline import assembled_texts, run_pipeline
 from invoicelake.sources.readers import read_text_corpus
 from invoicelake.sources.writers import bucketed, write_quarantine, write_results
@@ -201,6 +209,19 @@ def receipts(spark, sf_dir):
     )
 
 
+@query
+def mixed_types(spark, sf_dir):
+    """Invoices and purchase orders, each with the fields of its type."""
+    names = [*V.FIELDS, *[field.name for field in PURCHASE_ORDER.extra]]
+    results = extract_documents(C.mixed_documents(spark, sf_dir), (PURCHASE_ORDER, INVOICE))
+    return results.select(
+        "doc_id", "document_type",
+        *[F.col("fields")[f].alias(f) for f in names],
+        *[F.col("confidence")[f].alias("c_" + f) for f in names],
+        F.size("fields.line_items").alias("n_items"), "overall_confidence",
+    )
+
+
 @query
 def report_format(spark, sf_dir):
     return field_rows(_results(spark, sf_dir))

@@ -106,6 +106,15 @@ DATE_ANYWHERE_CONFIDENCE = 0.40
 DATE_TRAILING_PUNCTUATION = ".,;:"
 DATE_YEARS = (1990, 2100)
 
+# --- Orders (our own) ---------------------------------------------------------
+
+PO_NUMBER = [
+    (LINE_FLAGS + r"\bpo\s*(?:no\.?|number|num\.?|#)\s*[:\-]?\s*" + _NUMBER_VALUE, 0.95),
+    (LINE_FLAGS + r"\border\s*(?:no\.?|number|num\.?|#)\s*[:\-]?\s*" + _NUMBER_VALUE, 0.85),
+]
+_DELIVERY_LABEL = LINE_FLAGS + r"deliver(?:y\s+date|y|\s+by)\s*[:\-]?\s*"
+DELIVERY_DATE = [(_DELIVERY_LABEL + value, 0.95) for value in (DATE_NUM, DATE_TEXT, DATE_TEXT2, DATE_ISO)]
+
 # --- Amounts ----------------------------------------------------------------
 
 CURRENCY_SYMBOLS = "$£€₹¥"

@@ -87,6 +87,8 @@ VENDOR_LABELED = rule_set(
         (("service",), ("provider",)),
     ],
 )
+PO_NUMBER = rule_set("po_number", V.PO_NUMBER, needs=[(("po",), ("no", "num", "#")), (("order",), ("no", "num", "#"))])
+DELIVERY_DATE = rule_set("delivery_date", V.DELIVERY_DATE, needs=[(("deliver",),)] * len(V.DELIVERY_DATE))
 INVOICE_RULES = INVOICE_NUMBER + INVOICE_DATE + DUE_DATE + TOTAL_AMOUNT + VENDOR_LABELED
 
 

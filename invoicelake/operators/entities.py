@@ -345,13 +345,22 @@ def _evidence_columns() -> list[Column]:
 # --- E8 in one pass -------------------------------------------------------------
 
 _ADDED = ("_tokens", "_spans", "_keywords", "_orgs", "_dates", "_money", "_org", "_date", "_sum")
+_VALUES = {"DATE": "date", "MONEY": "double"}
 
 
-def with_text_evidence(texts: DataFrame) -> DataFrame:
+def evidence_type(extra: tuple[tuple, ...] = ()) -> str:
+    """Type of ``evidence``; each kind of ``extra`` keywords adds a value with its confidence."""
+    more = {kind: _VALUES[label] for kind, _, _, label, _ in extra}
+    added = "".join(f",{kind}:struct<value:{dtype},confidence:double>" for kind, dtype in more.items())
+    return EVIDENCE_TYPE[:-1] + added + ">"
+
+
+def with_text_evidence(texts: DataFrame, extra: tuple[tuple, ...] = ()) -> DataFrame:
     """``texts(.., clean_text)`` with the column ``evidence`` of the built-in tagger.
 
     What ``evidence`` finds by joins is found within each row, so the texts are
-    read once and nothing leaves the scan.
+    read once and nothing leaves the scan.  ``extra`` are further keywords, of
+    kinds of their own.
     """
     cut = texts.withColumn("_cut", pinned(_cut_of_clean()))
     spans = F.transform(
@@ -368,7 +377,7 @@ def with_text_evidence(texts: DataFrame) -> DataFrame:
             "_top": head_text(F.col("clean_text")),
         }
     )
-    return with_row_evidence(placed.drop("_cut")).drop("_top")
+    return with_row_evidence(placed.drop("_cut"), extra).drop("_top")
 
 
 def tagged_rows(tokens: DataFrame, entities: DataFrame) -> DataFrame:
@@ -388,19 +397,21 @@ def tagged_rows(tokens: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def with_row_evidence(rows: DataFrame) -> DataFrame:
+def with_row_evidence(rows: DataFrame, extra: tuple[tuple, ...] = ()) -> DataFrame:
     """Rows with ``_tokens``, ``_spans`` (by number) and ``_top``, the lower-case head lines, with ``evidence``.
 
     Keywords and spans of a label are merged into one array in order of
     position; the span nearest behind a keyword is among the next events of
     it, as many as the window is wide.  The work grows with the tokens.
     """
-    for stage in _evidence_stages():
+    for stage in _evidence_stages(extra):
         rows = rows.withColumns({name: pinned(column) for name, column in stage.items()})
-    return rows.drop(*_ADDED, *(f"_near_{label}_{n}" for label, n in _WINDOWS), *(f"_events_{label}" for label, _ in _WINDOWS))
+    windows = _windows(extra)
+    return rows.drop(*_ADDED, *(f"_near_{label}_{n}" for label, n in windows), *(f"_events_{label}" for label, _ in windows))
 
 
-_WINDOWS = sorted({(label, window) for *_, label, window in KEYWORDS})
+def _windows(extra: tuple[tuple, ...]) -> list[tuple[str, int]]:
+    return sorted({(label, window) for *_, label, window in (*KEYWORDS, *extra)})
 
 
 @per_application
@@ -409,9 +420,9 @@ def _cut_of_clean() -> Column:
 
 
 @per_application
-def _evidence_stages() -> list[dict[str, Column]]:
-    spans = F.col("_spans")
-    keywords = sorted({word for _, _, word, _, _ in KEYWORDS})
+def _evidence_stages(extra: tuple[tuple, ...]) -> list[dict[str, Column]]:
+    spans, windows, entries = F.col("_spans"), _windows(extra), (*KEYWORDS, *extra)
+    keywords = sorted({word for _, _, word, _, _ in entries})
     words = F.transform("_tokens", lambda t, i: F.struct(i.alias("at"), F.lower(t).alias("word")))
 
     def texts_of(keep) -> Column:
@@ -465,7 +476,7 @@ def _evidence_stages() -> list[dict[str, Column]]:
     def of_kind(kind: str, read) -> Column:
         """Values and confidences behind the keywords of a kind that can be read, in the order of the list."""
         hits = []
-        for _, _, word, label, n in (k for k in KEYWORDS if k[0] == kind):
+        for _, _, word, label, n in (k for k in entries if k[0] == kind):
             hit = first_of(F.filter(f"_near_{label}_{n}", with_word(word)))
             hits.append(F.struct(hit["text"].alias("text"), _near_confidence(hit["gap"], F.lit(n)).alias("confidence")))
         found = F.filter(F.array(*hits), lambda h: h["text"].isNotNull())
@@ -485,6 +496,10 @@ def _evidence_stages() -> list[dict[str, Column]]:
         first_of(of_kind("total_amount", normalize_amount)).alias("total_near"),
         best(F.col("_sum"), "amount").alias("money_best"),
         best(F.col("_sum"), "currency")["value"].alias("money_currency"),
+        *[
+            first_of(of_kind(kind, normalize_date if label == "DATE" else normalize_amount)).alias(kind)
+            for kind, label in dict((k, label) for k, _, _, label, _ in extra).items()
+        ],
     )
     return [
         {
@@ -493,8 +508,8 @@ def _evidence_stages() -> list[dict[str, Column]]:
             "_dates": texts_of(lambda s: (s["label"] == "DATE") & ~s["text"].rlike(V.ENTITY_RELATIVE_DATE)),
             "_money": amounts,
         },
-        {f"_events_{label}": events(label) for label, _ in _WINDOWS},
-        {f"_near_{label}_{n}": near(label, n) for label, n in _WINDOWS},
+        {f"_events_{label}": events(label) for label, _ in windows},
+        {f"_near_{label}_{n}": near(label, n) for label, n in windows},
         {
             "_org": F.transform(
                 "_orgs",
@@ -512,5 +527,5 @@ def _evidence_stages() -> list[dict[str, Column]]:
                 ),
             ),
         },
-        {"evidence": evidence_row.cast(EVIDENCE_TYPE)},
+        {"evidence": evidence_row.cast(evidence_type(extra))},
     ]

@@ -13,6 +13,7 @@ Without evidence the whole job is one scan with projections, no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -50,19 +51,55 @@ from invoicelake.functions.text import (
     total_line,
 )
 from invoicelake.operators.entities import (
-    EVIDENCE_TYPE,
+    evidence_type,
     head_text,
+    keyword_list,
     tagged_rows,
     with_row_evidence,
     with_text_evidence,
 )
 
 
+#: How a field reads what its rules match: type of its values, reader, entities that can agree with it.
+READERS = {
+    "text": ("string", strip, None),
+    "name": ("string", lambda c: truncate_name(strip(c)), None),
+    "date": ("date", normalize_date, "DATE"),
+    "amount": ("double", normalize_amount, "MONEY"),
+}
+
+
+@dataclass(frozen=True)
+class Field:
+    """A field that a document type adds to those all types know.
+
+    Its rules are tried in order.  Dates and amounts may have ``keywords``: the
+    entity within ``window`` tokens behind the first of them that has one is
+    fused with what the rules read.
+    """
+
+    name: str
+    rules: tuple[R.Rule, ...]
+    reads: str = "text"
+    keywords: tuple[str, ...] = ()
+    window: int = 8
+
+    @property
+    def dtype(self) -> str:
+        return READERS[self.reads][0]
+
+    def nearby(self) -> list[tuple]:
+        """Entries for the keyword search of its entities."""
+        return keyword_list("x_" + self.name, list(self.keywords), READERS[self.reads][2], self.window)
+
+
 @dataclass(frozen=True)
 class DocType:
-    """A document type is a name, its fields and its rules; the plan stays the same.
+    """A document type is a name, its fields and its rules; the plan is built from them.
 
-    Fields left out come back null with confidence 0.
+    Known fields that are left out come back null with confidence 0; ``extra``
+    fields stand behind the known ones in a result's structs.  ``marks`` are
+    lower-case words by which ``choose_type`` tells the type of a text.
     """
 
     name: str
@@ -72,6 +109,8 @@ class DocType:
     due_date: tuple[R.Rule, ...] = ()
     total_amount: tuple[R.Rule, ...] = ()
     vendor_name: tuple[R.Rule, ...] = ()
+    extra: tuple[Field, ...] = ()
+    marks: tuple[str, ...] = ()
 
     def has(self, field: str) -> bool:
         return field in self.fields
@@ -83,6 +122,7 @@ class DocType:
             *self.due_date,
             *self.total_amount,
             *self.vendor_name,
+            *[rule for field in self.extra for rule in field.rules],
         ]
 
 
@@ -106,6 +146,19 @@ RECEIPT = DocType(
     vendor_name=tuple(R.VENDOR_LABELED),
 )
 
+# An order names its own number and a day of delivery.
+PURCHASE_ORDER = DocType(
+    name="purchase_order",
+    fields=("vendor_name", "total_amount", "currency", "line_items"),
+    total_amount=tuple(R.TOTAL_AMOUNT),
+    vendor_name=tuple(R.VENDOR_LABELED),
+    extra=(
+        Field("po_number", tuple(R.PO_NUMBER)),
+        Field("delivery_date", tuple(R.DELIVERY_DATE), "date", ("delivery", "deliver")),
+    ),
+    marks=("purchase order", "po number"),
+)
+
 VALUE_TYPES = {
     "vendor_name": "string",
     "invoice_number": "string",
@@ -159,54 +212,83 @@ def _cascade_or_null(doc_type: DocType, field: str, build) -> Column:
     return (build() if wanted else F.lit(None)).cast(typed)
 
 
-def _words(doc_type: DocType) -> R.Words:
-    return R.Words(doc_type.rules(), (*_TOTAL_LINE_WORDS, *_ITEM_HEADER_WORDS, *_NET_WORDS))
+Types = tuple[DocType, ...]
+
+
+def choose_type(types: Types) -> Column:
+    """Name of the first type of which the text has a mark, else of the last."""
+    chosen = F.lit(types[-1].name)
+    for t in reversed(types[:-1]):
+        if t.marks:
+            chosen = F.when(any_true([F.contains(F.col("_folded"), F.lit(m)) for m in t.marks]), t.name).otherwise(chosen)
+    return chosen
+
+
+def _by_type(types: Types, build: Callable[[DocType], Column]) -> Column:
+    """What ``build`` makes for the type of a row."""
+    if len(types) == 1:
+        return build(types[0])
+    return F.coalesce(*[F.when(F.col("document_type") == t.name, build(t)) for t in types])
+
+
+def _extra(types: Types) -> list[Field]:
+    """The fields that types add, those of one name once."""
+    return list({field.name: field for t in types for field in t.extra}.values())
+
+
+def _nearby(types: Types) -> tuple[tuple, ...]:
+    return tuple(entry for field in _extra(types) for entry in field.nearby())
+
+
+def _words(types: Types) -> R.Words:
+    rules = [rule for t in types for rule in t.rules()]
+    return R.Words(rules, (*_TOTAL_LINE_WORDS, *_ITEM_HEADER_WORDS, *_NET_WORDS))
 
 
 @per_application
-def _prepared_columns(doc_type: DocType) -> list[tuple[str, Column]]:
+def _prepared_columns(types: Types) -> list[tuple[str, Column]]:
     clean, folded = F.col("clean_text"), F.col("_folded")
     return [
         ("clean_text", clean_text(F.col("raw_text"))),
         ("_folded", fold(clean)),
-        ("_has", _words(doc_type).column(folded)),
+        ("_has", _words(types).column(folded)),
+        ("document_type", choose_type(types)),
     ]
 
 
 @per_application
-def _rule_columns(doc_type: DocType) -> list[Column]:
+def _rule_columns(types: Types) -> list[Column]:
     """Everything that is looked for in every text."""
-    words = _words(doc_type)
+    words = _words(types)
     clean, folded = F.col("clean_text"), F.col("_folded")
 
     def guarded(literals: tuple[str, ...], value: Column) -> Column:
         return F.when(any_true([words.has(w) for w in literals]), value)
 
-    number = _cascade_or_null(
-        doc_type,
-        "invoice_number",
-        lambda: first_match(clean, folded, list(doc_type.invoice_number), words, strip),
-    )
-    date = _cascade_or_null(
-        doc_type,
-        "invoice_date",
-        lambda: cascade(folded, list(doc_type.invoice_date), words, normalize_date),
-    )
-    due = _cascade_or_null(
-        doc_type, "due_date", lambda: cascade(folded, list(doc_type.due_date), words, normalize_date)
-    )
-    total = _cascade_or_null(
-        doc_type,
-        "total_amount",
-        lambda: cascade(folded, list(doc_type.total_amount), words, normalize_amount),
-    )
-    label = _cascade_or_null(
-        doc_type,
-        "vendor_name",
-        lambda: first_match(
-            clean, folded, list(doc_type.vendor_name), words, lambda c: truncate_name(strip(c))
-        ),
-    )
+    def read_by(reads: str, rules: tuple[R.Rule, ...]) -> Column:
+        """Matches that are always readable end the search; others may have to go on."""
+        read = READERS[reads][1]
+        if reads in ("text", "name"):
+            return first_match(clean, folded, list(rules), words, read)
+        return cascade(folded, list(rules), words, read)
+
+    def known(field: str, reads: str) -> Column:
+        return _by_type(types, lambda t: _cascade_or_null(t, field, lambda: read_by(reads, getattr(t, field))))
+
+    def added(field: Field) -> Column:
+        typed = _WIN.format(field.dtype)
+        own = [t for t in types if field in t.extra]
+        found = read_by(field.reads, field.rules).cast(typed)
+        return found if len(own) == len(types) else F.when(F.col("document_type").isin([t.name for t in own]), found)
+
+    def if_has(field: str, value: Column) -> Column:
+        return _by_type(types, lambda t: value if t.has(field) else F.lit(None))
+
+    number = known("invoice_number", "text")
+    date = known("invoice_date", "date")
+    due = known("due_date", "date")
+    total = known("total_amount", "amount")
+    label = known("vendor_name", "name")
     on_total_line = guarded(_TOTAL_LINE_WORDS, detect_currency(total_line(folded, folded=True), folded=True))
     items = guarded(_ITEM_HEADER_WORDS, line_items(F.col("raw_text")))
     no_items = F.array().cast(ITEM_TYPE)
@@ -218,21 +300,20 @@ def _rule_columns(doc_type: DocType) -> list[Column]:
         due.alias("due"),
         total.alias("total"),
         label.alias("label"),
-        (on_total_line if doc_type.has("currency") else F.lit(None).cast("string")).alias("line_currency"),
-        (guarded(_NET_WORDS, net_days(folded)) if doc_type.has("due_date") else F.lit(None).cast("int")).alias(
-            "net_days"
-        ),
-        (pinned(F.coalesce(items, no_items)) if doc_type.has("line_items") else no_items).alias("items"),
+        if_has("currency", on_total_line).cast("string").alias("line_currency"),
+        if_has("due_date", guarded(_NET_WORDS, net_days(folded))).cast("int").alias("net_days"),
+        pinned(F.coalesce(if_has("line_items", items).cast(ITEM_TYPE), no_items)).alias("items"),
+        *[added(field).alias("x_" + field.name) for field in _extra(types)],
     ]
 
 
 @per_application
-def _fallback_columns(doc_type: DocType) -> list[Column]:
+def _fallback_columns(types: Types) -> list[Column]:
     """What is looked for only where the rules found nothing."""
     clean, folded = F.col("clean_text"), F.col("_folded")
 
     def fallback(field: str, missing: Column, value: Column, dtype: str) -> Column:
-        return F.when(missing, value) if doc_type.has(field) else F.lit(None).cast(dtype)
+        return _by_type(types, lambda t: F.when(missing, value) if t.has(field) else F.lit(None)).cast(dtype)
 
     no_label = F.col("label").isNull()
     return [
@@ -251,21 +332,32 @@ _CANDIDATES = ("raw_text_length", "number", "date", "due", "total", "label", "li
 
 
 def rule_candidates(
-    docs: DataFrame, doc_type: DocType = INVOICE, keep: tuple[str, ...] = (), tagged: bool = False, head: bool = False
+    docs: DataFrame,
+    doc_type: DocType | Types = INVOICE,
+    keep: tuple[str, ...] = (),
+    tagged: bool = False,
+    head: bool = False,
 ) -> DataFrame:
     """What the rules, and with ``tagged`` the built-in tagger, find in each text, as one small row per document.
 
-    ``head`` adds the head lines, which organisations of a given tagger are looked up in.
+    Of several types each text gets one, by ``choose_type``, and only that type's rules are tried on it.  ``head``
+    adds the head lines, which organisations of a given tagger are looked up in.
     """
+    types = _types(doc_type)
     prepared = docs.select("doc_id", *keep, F.coalesce(F.col("raw_text"), F.lit("")).alias("raw_text"))
-    for name, column in _prepared_columns(doc_type):
+    for name, column in _prepared_columns(types):
         prepared = prepared.withColumn(name, column)
     if tagged:
-        prepared, keep = with_text_evidence(prepared), (*keep, "evidence")
+        prepared, keep = with_text_evidence(prepared, _nearby(types)), (*keep, "evidence")
     if head:
         prepared, keep = prepared.withColumn("_top", head_text(F.col("clean_text"))), (*keep, "_top")
-    ruled = prepared.select("doc_id", *keep, "clean_text", "_folded", *_rule_columns(doc_type))
-    return ruled.select("doc_id", *keep, *_CANDIDATES, *_fallback_columns(doc_type))
+    ruled = prepared.select("doc_id", *keep, "document_type", "clean_text", "_folded", *_rule_columns(types))
+    found = [*_CANDIDATES, *["x_" + field.name for field in _extra(types)]]
+    return ruled.select("doc_id", *keep, "document_type", *found, *_fallback_columns(types))
+
+
+def _types(doc_type: DocType | Types) -> Types:
+    return (doc_type,) if isinstance(doc_type, DocType) else tuple(doc_type)
 
 
 # --- Step 2 -------------------------------------------------------------------
@@ -355,48 +447,65 @@ def _resolved_number() -> Column:
     )
 
 
+def _resolved_extra(field: Field) -> Column:
+    """A field of one type: rule and entity fused."""
+    rule = F.col("x_" + field.name)
+    as_text = number_text if field.reads == "amount" else (lambda c: c.cast("string"))
+    entity = F.col("evidence")["x_" + field.name] if field.keywords else F.lit(None).cast(f"struct<value:{field.dtype},confidence:double>")
+    fused = fuse(rule["value"], rule["confidence"], entity["value"], entity["confidence"], as_text)
+    return F.when(rule["value"].isNotNull() | entity["value"].isNotNull(), fused).otherwise(
+        _pick(F.lit(None), 0.0, "none", field.dtype)
+    )
+
+
 @per_application
-def _picks(doc_type: DocType) -> tuple[dict[str, Column], dict[str, Column]]:
+def _picks(types: Types) -> tuple[dict[str, Column], dict[str, Column]]:
     """The fields; the due date comes second, as it may need the invoice date."""
+
+    def if_has(field: str, pick: Column) -> Column:
+        """Entities may offer a value for a field that the type doesn't have."""
+        having = [t.name for t in types if t.has(field) or field in [x.name for x in t.extra]]
+        nothing = _pick(F.lit(None), 0.0, "none", VALUE_TYPES.get(field) or pick_types[field])
+        if len(having) == len(types):
+            return pick
+        return F.when(F.col("document_type").isin(having), pick).otherwise(nothing) if having else nothing
+
+    pick_types = {field.name: field.dtype for field in _extra(types)}
     picks = {
         "vendor_name": _resolved_vendor(),
         "invoice_number": _resolved_number(),
         "invoice_date": _resolved_date(),
         "total_amount": _resolved_total(),
         "currency": _resolved_currency(),
+        **{field.name: _resolved_extra(field) for field in _extra(types)},
     }
-    for field in picks:
-        if not doc_type.has(field):
-            picks[field] = _pick(F.lit(None), 0.0, "none", VALUE_TYPES[field])
-    due = (
-        _resolved_due(F.col("p_invoice_date.value"))
-        if doc_type.has("due_date")
-        else _pick(F.lit(None), 0.0, "none", "date")
-    )
+    due = if_has("due_date", _resolved_due(F.col("p_invoice_date.value")))
     return (
-        {"p_" + name: pinned(pick) for name, pick in picks.items()},
+        {"p_" + name: pinned(if_has(name, pick)) for name, pick in picks.items()},
         {"p_due_date": pinned(due), "items_total": items_total(F.col("items"))},
     )
 
 
 @per_application
-def _result_columns(doc_type: DocType) -> list[Column]:
+def _result_columns(types: Types) -> list[Column]:
 
     def part(field: str, name: str) -> Column:
         return F.col("p_" + field)[name]
 
+    kinds = VALUE_TYPES | {field.name: field.dtype for field in _extra(types)}
+    names = [*V.FIELDS, *[field.name for field in _extra(types)]]
     structs = {
         "fields": F.struct(
-            *[part(f, "value").cast(VALUE_TYPES[f]).alias(f) for f in V.FIELDS],
+            *[part(f, "value").cast(kinds[f]).alias(f) for f in names],
             F.col("items").alias("line_items"),
         ),
-        "confidence": F.struct(*[part(f, "confidence").alias(f) for f in V.FIELDS]),
-        "source": F.struct(*[part(f, "source").alias(f) for f in V.FIELDS]),
+        "confidence": F.struct(*[part(f, "confidence").alias(f) for f in names]),
+        "source": F.struct(*[part(f, "source").alias(f) for f in names]),
     }
     return [
-        F.lit(doc_type.name).alias("document_type"),
+        F.col("document_type"),
         *[column.alias(name) for name, column in structs.items()],
-        overall_confidence([part(f, "confidence") for f in V.FIELDS]).alias("overall_confidence"),
+        overall_confidence([part(f, "confidence") for f in names]).alias("overall_confidence"),
         extraction_warnings(
             date_warning(part("invoice_date", "value"), part("due_date", "value")),
             sum_warning(part("total_amount", "value"), F.col("items_total")),
@@ -405,19 +514,22 @@ def _result_columns(doc_type: DocType) -> list[Column]:
     ]
 
 
-def resolve(candidates: DataFrame, doc_type: DocType = INVOICE, keep: tuple[str, ...] = ()) -> DataFrame:
+def resolve(candidates: DataFrame, doc_type: DocType | Types = INVOICE, keep: tuple[str, ...] = ()) -> DataFrame:
     """Candidates, with or without evidence, to result rows."""
+    types = _types(doc_type)
     if "evidence" not in candidates.columns:
-        candidates = candidates.withColumn("evidence", F.lit(None).cast(EVIDENCE_TYPE))
-    for picks in _picks(doc_type):
+        candidates = candidates.withColumn("evidence", F.lit(None).cast(evidence_type(_nearby(types))))
+    for picks in _picks(types):
         candidates = candidates.withColumns(picks)
-    return candidates.select("doc_id", *keep, *_result_columns(doc_type))
+    return candidates.select("doc_id", *keep, *_result_columns(types))
 
 
 # --- R1 -----------------------------------------------------------------------
 
 
-def with_given_evidence(candidates: DataFrame, entities: DataFrame, tokens: DataFrame | None) -> DataFrame:
+def with_given_evidence(
+    candidates: DataFrame, entities: DataFrame, tokens: DataFrame | None, doc_type: DocType | Types = INVOICE
+) -> DataFrame:
     """Candidates (with ``head``) and the evidence of a tagger's tables.
 
     The tables are grouped by document and joined by it; bucketed by it, they
@@ -425,12 +537,13 @@ def with_given_evidence(candidates: DataFrame, entities: DataFrame, tokens: Data
     """
     if tokens is None:
         raise ValueError("entities come with the tokens they refer to")
-    return with_row_evidence(candidates.join(tagged_rows(tokens, entities), "doc_id", "left")).drop("_top")
+    rows = candidates.join(tagged_rows(tokens, entities), "doc_id", "left")
+    return with_row_evidence(rows, _nearby(_types(doc_type))).drop("_top")
 
 
 def extract_documents(
     docs: DataFrame,
-    doc_type: DocType = INVOICE,
+    doc_type: DocType | Types = INVOICE,
     entities: DataFrame | None = None,
     tokens: DataFrame | None = None,
     keep: tuple[str, ...] = (),
@@ -440,13 +553,14 @@ def extract_documents(
 
     ``entities`` and ``tokens``, the tables of a tagger, switch the entity side
     on; so does ``tagged``, with the built-in tagger, in the scan that the rules
-    need anyway.  ``keep`` names columns of ``docs`` to carry along.
+    need anyway.  Several types in ``doc_type`` are told apart per text, in one
+    scan.  ``keep`` names columns of ``docs`` to carry along.
     """
     if tagged and entities is not None:
         raise ValueError("either tables of a tagger or the built-in one")
     candidates = rule_candidates(docs, doc_type, keep, tagged, head=entities is not None)
     if entities is not None:
-        candidates = with_given_evidence(candidates, entities, tokens)
+        candidates = with_given_evidence(candidates, entities, tokens, doc_type)
     return resolve(candidates, doc_type, keep)
 
 

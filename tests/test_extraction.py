@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from invoicelake.operators.entities import tag_entities, tokens
 from invoicelake.operators.reports import coverage
-from invoicelake.plans.extraction import RECEIPT, extract_documents, extract_invoices
+from invoicelake.plans.extraction import INVOICE, PURCHASE_ORDER, RECEIPT, extract_documents, extract_invoices
 from invoicelake.sources.readers import read_files, read_text_corpus
 from invoicelake.streaming.extract import stream_extract
 
@@ -130,3 +130,46 @@ def test_sources(spark, tmp_path):
     assert read_text_corpus(spark, str(tmp_path / "b.txt"), fmt="text").first().raw_text == "one\ntwo"
     with pytest.raises(Exception):
         read_files(spark, str(tmp_path / "missing"))
+
+
+ORDER = """\
+PURCHASE ORDER
+Vendor: Harbour Ropes Ltd
+Order No: HR-771
+Delivery: 4 May 2027
+Total: USD 1,200.00
+"""
+
+
+def test_a_type_adds_fields_of_its_own(spark):
+    docs = spark.createDataFrame([(1, ORDER), (2, "PO number X1-9 deliver soon\nto 2027-05-06"), (3, "")], "doc_id long, raw_text string")
+    plain = {r.doc_id: r for r in extract_documents(docs, PURCHASE_ORDER).collect()}
+    f = plain[1].fields
+    assert (f.vendor_name, f.po_number, str(f.delivery_date), f.total_amount, f.currency) == (
+        "Harbour Ropes Ltd", "HR-771", "2027-05-04", 1200.0, "USD")
+    assert (f.invoice_number, f.invoice_date, f.due_date) == (None, None, None)
+    assert (plain[1].confidence.po_number, plain[1].source.delivery_date) == (0.85, "regex")
+    assert plain[2].fields.po_number == "X1-9" and plain[2].fields.delivery_date is None
+    assert plain[3].source.po_number == "none" and plain[3].overall_confidence == 0.0
+    for fused in (
+        extract_documents(docs, PURCHASE_ORDER, tagged=True),
+        extract_documents(docs, PURCHASE_ORDER, tag_entities(docs), tokens(docs)),
+    ):
+        rows = {r.doc_id: r for r in fused.collect()}
+        assert rows[1].source.delivery_date == "regex+nlp" and rows[1].confidence.delivery_date == 1.0
+        assert str(rows[2].fields.delivery_date) == "2027-05-06" and rows[2].source.delivery_date == "nlp"
+        assert rows[1].fields.invoice_date is None  # entities add no field that the type lacks
+
+
+def test_types_are_chosen_within_one_scan(spark, docs, results):
+    mixed = docs.unionByName(spark.createDataFrame([(900, ORDER)], docs.schema))
+    found = extract_documents(mixed, (PURCHASE_ORDER, INVOICE))
+    rows = {r.doc_id: r for r in found.collect()}
+    alone = extract_documents(mixed.where("doc_id = 900"), PURCHASE_ORDER).first()
+    assert rows[900] == alone and rows[900].document_type == "purchase_order"
+    for key, r in results.items():
+        assert rows[key].document_type == "invoice" and rows[key].fields.po_number is None
+        known = {k: v for k, v in rows[key].fields.asDict().items() if k not in ("po_number", "delivery_date")}
+        assert known == r.fields.asDict() and rows[key].overall_confidence == r.overall_confidence
+    plan = extract_documents(docs, (PURCHASE_ORDER, INVOICE))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Union" not in plan
