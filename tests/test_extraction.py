@@ -1,9 +1,13 @@
 """Whole documents, with and without entities, in batch and as a stream."""
 
+import io
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
 from invoicelake.operators.entities import tag_entities, tokens
+from invoicelake.operators.intake import admit
 from invoicelake.operators.reports import coverage
 from invoicelake.plans.extraction import INVOICE, PURCHASE_ORDER, RECEIPT, extract_documents, extract_invoices
 from invoicelake.sources.readers import read_files, read_text_corpus
@@ -141,6 +145,35 @@ Total: USD 1,200.00
 """
 
 
+def zipped(names, comment=b""):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for n in names:
+            z.writestr(n, "x" * 50)
+        z.comment = comment
+    return data.getvalue()
+
+
+def test_zip_types_by_their_entries(spark, tmp_path):
+    word, sheet = ["[Content_Types].xml", "word/document.xml", "word/é.xml"], ["xl/workbook.xml"]
+    files = {
+        "a.docx": zipped(word), "b.bin": zipped(word), "c.docx": zipped(sheet), "d.zip": zipped(["x.txt"]),
+        "e.docx": zipped(["ppt/presentation.xml"]), "f.bin": zipped(word, b"a comment"), "g.docx": zipped(word)[:60],
+        "h.zip": zipped(word)[:60], "i.zip": zipped([]), "j.docx": b"\x00\x01", "l.docx": zipped(word) + b"tail",
+        "m.bin": zipped([f"n{k}" for k in range(300)] + word),
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    found = admit(read_files(spark, str(tmp_path)))
+    assert "tail" not in found.columns
+    kinds = {r.path.rsplit("/", 1)[1]: (r.mime or "").rsplit(".", 1)[-1] for r in found.collect()}
+    assert kinds == {
+        "a.docx": "document", "b.bin": "document", "c.docx": "sheet", "d.zip": "application/zip", "e.docx": "presentation",
+        "f.bin": "document", "g.docx": "document", "h.zip": "application/zip", "i.zip": "application/zip", "j.docx": "document",
+        "l.docx": "document", "m.bin": "document",
+    }
+
+
 def test_a_type_adds_fields_of_its_own(spark):
     docs = spark.createDataFrame([(1, ORDER), (2, "PO number X1-9 deliver soon\nto 2027-05-06"), (3, "")], "doc_id long, raw_text string")
     plain = {r.doc_id: r for r in extract_documents(docs, PURCHASE_ORDER).collect()}
