@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from invoicelake.functions.columns import per_application
+from invoicelake.functions.intake import header_of, tail_of
 from invoicelake.sources.readers import read_text_corpus
 
 
@@ -301,3 +302,46 @@ def invoice_blocks(docs: DataFrame) -> DataFrame:
         "doc_id", F.lit("para").alias("block_kind"), "block_no", none.alias("table_no"), none.alias("row_no"),
         none.alias("cell_no"), "text",
     )
+
+
+def _le(value: Column | int, size: int) -> Column:
+    """A number as bytes, the lowest first."""
+    whole = F.lpad(F.hex(F.lit(value).cast("bigint")), 2 * size, "0")
+    return F.unhex(F.concat(*[F.substring(whole, 2 * (size - k) - 1, 2) for k in range(size)]))
+
+
+def _zip_directory(names: list[Column]) -> Column:
+    """The directory of a ZIP with these entries, and its end record."""
+    zeros = lambda n: F.unhex(F.lit("00" * n))
+    entries = [
+        F.concat(F.unhex(F.lit("504B0102")), zeros(24), _le(F.octet_length(n), 2), zeros(16), n.cast("binary")) for n in names
+    ]
+    directory = F.concat(*entries)
+    end = F.concat(
+        F.unhex(F.lit("504B0506")), zeros(4), _le(len(names), 2), _le(len(names), 2), _le(F.octet_length(directory), 4), zeros(6)
+    )
+    return F.concat(directory, end)
+
+
+def zipped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ZIP per given document, by key: as it is named, without a name for it, under a wrong name, or cut off."""
+    key = F.col("doc_id")
+    body = F.concat(F.unhex(F.lit("504B0304")), F.coalesce("text", F.lit("")).cast("binary"))
+    at = (key % 6).cast("int")
+    word = [F.lit("[Content_Types].xml"), F.concat(F.lit("word/media/"), key.cast("string")), F.lit("word/document.xml")]
+    sheet = [F.lit("[Content_Types].xml"), F.lit("xl/workbook.xml")]
+    other = [F.concat(F.lit("notes/"), key.cast("string"), F.lit(".txt"))]
+    names = ("letter.docx", "upload", "book.docx", "notes.zip", "torn.docx", "torn.zip")
+    content = (
+        F.when(at <= 1, F.concat(body, _zip_directory(word)))
+        .when(at == 2, F.concat(body, _zip_directory(sheet)))
+        .when(at == 3, F.concat(body, _zip_directory(other)))
+        .otherwise(body)
+    )
+    return table(spark, sf_dir, "documents").select(
+        key, F.concat(F.lit("/in/"), key.cast("string"), F.lit("/"), _pick(at, *map(F.lit, names))).alias("path"),
+        content.alias("content"),
+    ).select(
+        "doc_id", "path", F.octet_length("content").cast("bigint").alias("length"), header_of(F.col("content")).alias("header"),
+        tail_of(F.col("content")).alias("tail"),
+    )

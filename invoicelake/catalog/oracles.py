@@ -599,3 +599,18 @@ FROM truth t LEFT JOIN items USING (doc_id) JOIN accepted ON key = t.doc_id""",
     "pipeline_invoices": f"""{TRUTH}, {_ITEMS}, {_FUSED}, {_INVOICE_FILES}
 SELECT {_SHOWN_FUSED} FROM fused t LEFT JOIN items USING (doc_id) JOIN accepted ON key = t.doc_id""",
 }
+
+_SHEET = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
+ORACLES["container_types"] = f"""
+WITH zips AS (
+  SELECT doc_id, doc_id % 6 AS slot, 4 + strlen(coalesce(text, '')) + CASE doc_id % 6
+    WHEN 0 THEN 3 * 46 + 22 + 19 + 11 + length(CAST(doc_id AS VARCHAR)) + 17
+    WHEN 1 THEN 3 * 46 + 22 + 19 + 11 + length(CAST(doc_id AS VARCHAR)) + 17
+    WHEN 2 THEN 2 * 46 + 22 + 19 + 15 WHEN 3 THEN 46 + 22 + 10 + length(CAST(doc_id AS VARCHAR)) ELSE 0 END AS length
+  FROM documents
+)
+SELECT doc_id, CAST(length AS BIGINT) AS length,
+  CASE WHEN slot IN (0, 1, 4) THEN '{_DOCX}' WHEN slot = 2 THEN '{_SHEET}' ELSE 'application/zip' END AS mime,
+  CASE WHEN slot IN (0, 1, 4) THEN 'docx' END AS loader, CASE WHEN slot IN (0, 1, 4) THEN 200 ELSE 415 END AS intake_status
+FROM zips
+"""

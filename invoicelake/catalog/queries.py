@@ -482,6 +482,11 @@ def intake_status(spark, sf_dir):
     )
 
 
+@query
+def container_types(spark, sf_dir):
+    return intake.admit(C.zipped_files(spark, sf_dir)).select("doc_id", "length", "mime", "loader", "intake_status")
+
+
 @query
 def upload_status(spark, sf_dir):
     return intake.admit(C.document_files(spark, sf_dir), endpoint="upload").select(

@@ -314,6 +314,18 @@ RIFF_MAGIC = "52494646"
 WEBP_MAGIC = "57454250"
 HEADER_BYTES = 12
 
+# ZIP directories: signatures (a character for each byte), and places of fields behind them, from 1.
+ZIP_END, ZIP_ENTRY = "PK\x05\x06", "PK\x01\x02"
+ZIP_END_BYTES = 18
+ZIP_END_COUNT, ZIP_END_SIZE, ZIP_END_COMMENT = 7, 9, 17
+ZIP_ENTRY_NAME_SIZE, ZIP_ENTRY_NAME = 25, 43
+TAIL_BYTES = 64 * 1024
+CONTAINER_ENTRIES = [
+    ("word/document.xml", DOCX_MIME),
+    ("xl/workbook.xml", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"),
+    ("ppt/presentation.xml", "application/vnd.openxmlformats-officedocument.presentationml.presentation"),
+]
+
 # --- Report formats ---------------------------------------------------------
 
 MISSING = "—"

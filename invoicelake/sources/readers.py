@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from invoicelake.functions.intake import header_of
+from invoicelake.functions.intake import header_of, tail_of
 
 
 def read_text_corpus(
@@ -36,11 +36,11 @@ def read_files(
     max_bytes: int | None = None,
     keep_content: bool = False,
 ) -> DataFrame:
-    """One row per file with path, size and leading bytes.
+    """One row per file with path, size, leading and last bytes.
 
     A missing path fails when the frame is made.  The content is cut down to
-    its header in the scan itself unless asked for; ``max_bytes`` is pushed to
-    the source, so that larger files are not even opened.
+    its header and tail in the scan itself unless asked for; ``max_bytes`` is
+    pushed to the source, so that larger files are not even opened.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if pattern is not None:
@@ -49,4 +49,7 @@ def read_files(
     if max_bytes is not None:
         files = files.filter(F.col("length") <= max_bytes)
     extra = ["content"] if keep_content else []
-    return files.select("path", "modificationTime", "length", header_of(F.col("content")).alias("header"), *extra)
+    content = F.col("content")
+    return files.select(
+        "path", "modificationTime", "length", header_of(content).alias("header"), tail_of(content).alias("tail"), *extra
+    )
