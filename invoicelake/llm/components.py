@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 from invoicelake.llm.common import stored
 
-#: Rows of a few numbers that are broadcast at most; tables of more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Bytes that are broadcast at most; larger tables are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
+_FIXED = ("bigint", "int", "double", "boolean")
+
+
+def size_of(table: DataFrame) -> int:
+    """About how many bytes a written table takes in memory: counted for numbers, measured for all else."""
+    if all(kind in _FIXED for _, kind in table.dtypes):
+        return table.count() * (16 + 8 * len(table.columns))
+    return table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 16)).first()[0] or 0
 
 
 def beside(df: DataFrame, table: DataFrame, on: str | list[str], how: str) -> DataFrame:
-    """Join with a written table: broadcast if its rows are counted to be few, by a shuffle otherwise."""
-    return df.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, on, how)
+    """Join with a written table: broadcast if its measured size is small, by a shuffle otherwise, with the same rows."""
+    return df.join(F.broadcast(table) if size_of(table) <= BROADCAST_BYTES else table, on, how)
 
 
 def connected(links: DataFrame) -> DataFrame:

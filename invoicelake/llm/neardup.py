@@ -22,6 +22,8 @@ TREES, DEPTH, DEEPER = 32, 4, 4
 VALUES = TREES * DEPTH
 #: Neighbours before a row in an order that are its candidates.
 NEIGHBOURS = 2
+#: Parts that the nodes of one shingle are dealt to.
+PARTS = 16
 
 _RANDOM = np.random.default_rng(20240501)
 _FACTOR = (_RANDOM.integers(0, 2**31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
@@ -235,12 +237,17 @@ def _rest(members: DataFrame, parts: DataFrame, sets: DataFrame, tested: DataFra
     heads = stored(heads, "heads")
     each = heads.groupBy("shingle", "component").agg(F.count("*").alias("n"))
     largest = each.groupBy("shingle").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    met = stored(heads.join(largest.select("shingle", "main"), "shingle"), "met")
-    one = met.where("component <> main").select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("node", "component", "size", "place")])
-    two = met.select("shingle", "main", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "size", "place")])
+    # a shingle that many nodes have is dealt out; what it is joined with goes to all its parts
+    dealt = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>")).alias("part")
+    part = F.pmod(F.xxhash64("node"), F.lit(PARTS)).alias("part")
+    met = stored(
+        heads.select("*", part).join(largest.select("shingle", "main", dealt), ["shingle", "part"]), "met"
+    )
+    one = met.where("component <> main").select("shingle", dealt, *[F.col(c).alias(f"{c}_a") for c in ("node", "component", "size", "place")])
+    two = met.select("shingle", "part", "main", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "size", "place")])
     left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
     pairs = (
-        one.join(two, "shingle")
+        one.join(two, ["shingle", "part"])
         .where("component_a <> component_b AND (component_b = main OR node_a < node_b)")
         .where(_could_link("size_a", "size_b"))
         .where(left * (100 + PERCENT) >= PERCENT * (F.col("size_a") + F.col("size_b")))
