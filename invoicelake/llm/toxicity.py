@@ -95,10 +95,12 @@ def fit(
 ) -> tuple[np.ndarray, float]:
     """Weighted logistic regression over (row, column) pairs of ones, by Adam over all rows in each step.
 
-    `swaps` are (pair, column, sign): each pair's score change is a sum of signed weights; its square is penalised.
+    `swaps` are (pair, column, sign, count): each pair's score change is a sum of signed weights; its square is
+    penalised, as often as the pair occurs.
     """
-    pair, place, sign = swaps
+    pair, place, sign, often = swaps
     n_pairs = int(pair.max()) + 1 if len(pair) else 0
+    often = often / often.sum() if n_pairs else often
     w, bias = np.zeros(width), float(np.log((weight @ y + 1) / (weight @ (1 - y) + 1)))
     m, v, weight = np.zeros(width + 1), np.zeros(width + 1), weight / weight.sum()
     for step in range(1, 401):
@@ -106,8 +108,8 @@ def fit(
         error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         gradient = np.bincount(columns, error[rows], width) + 2e-6 * w
         if n_pairs:
-            change = np.bincount(pair, sign * w[place], n_pairs)
-            gradient += 2 * penalty / n_pairs * np.bincount(place, sign * change[pair], width)
+            change = np.bincount(pair, sign * w[place], n_pairs) * often
+            gradient += 2 * penalty * np.bincount(place, sign * change[pair], width)
         g = np.append(gradient, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
@@ -158,7 +160,8 @@ def train(
                     names=["doc_id", "toxic", "feature"],
                 )
 
-    made = stored(texts.mapInArrow(extract, "doc_id bigint, toxic int, feature bigint"), "toxicity-features")
+    # rows that are repeated count once, as their ids do
+    made = stored(texts.mapInArrow(extract, "doc_id bigint, toxic int, feature bigint").distinct(), "toxicity-features")
     size = made.groupBy().agg(*(F.countDistinct(F.when(F.col("toxic") == k, F.col("doc_id"))).alias(f"n{k}") for k in (0, 1)))
     n0, n1 = size.first()
     a, b = F.col("in1") / F.lit(float(max(n1, 1))), F.col("in0") / F.lit(float(max(n0, 1)))
@@ -213,10 +216,10 @@ def train(
                 {"change": pa.array([x[0] for x in out], pa.string()), "n": pa.array([x[1] for x in out], pa.int64())}
             )
 
-    # Score changes are few distinct sets of signed features, counted by Spark.
+    # Score changes are few distinct sets of signed features, counted by Spark; all come from the bounded sample.
     swaps = (
         texts.select("doc_id", "text").mapInArrow(counterfactual, "change string, n bigint")
-        .groupBy("change").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "change").limit(5000).collect()
+        .groupBy("change").agg(F.sum("n").alias("n")).orderBy("change").collect()
     )
     pair, place, sign = [], [], []
     for k, r in enumerate(swaps):
@@ -225,7 +228,8 @@ def train(
             pair.append(k)
             place.append(int(at))
             sign.append(float(s))
-    signed = (np.array(pair, np.int64), np.array(place, np.int64), np.array(sign))
+    counts = np.array([r["n"] for r in swaps], float)
+    signed = (np.array(pair, np.int64), np.array(place, np.int64), np.array(sign), counts)
     w, bias = fit(rows, columns, y, weight, len(hashes), signed, penalty)
     return Model(hashes, w, bias)
 
