@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from invoicelake.llm.common import hash_spans, mix, shingles_of, slices, small_batches, stored, text_bytes
@@ -17,8 +17,10 @@ from invoicelake.llm.components import beside
 WINDOW, LITERALS = 8, 4
 #: Consecutive windows that tell a leak (13 words), or the share of an item's windows, in percent.
 RUN, SHARE = 6, 50
-#: Benchmark windows that every task searches in at most; more of them are joined by a shuffle of all windows.
-SEARCHED = 2_000_000
+#: Items of fewer words are reported, but `without_leaks` keeps documents that hold only those.
+LEAST_WORDS = 8
+#: Bits of the map in which tasks look up windows, at every size of the benchmark: 8 MB.
+MAP_BITS = 26
 # Words that are units after a number.
 UNITS = (
     "%", "cm", "mm", "km", "m", "ft", "in", "inches", "feet", "meters", "metres", "miles", "kg", "g", "mg", "lb", "lbs",
@@ -60,23 +62,25 @@ class Templates:
         text = np.repeat(np.arange(len(self.have)), self.have)
         return text, np.arange(len(text)) - np.repeat(np.cumsum(self.have) - self.have, self.have)
 
-    def searched(self, width: int) -> tuple[np.ndarray, ...]:
-        """Text, place, hash of the windows of `width` words, and whether it is that of the template.
+    def searched(self, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Text, place, hash of the windows of `width` words, and whether it is that of the template; for both.
 
-        Where less than LITERALS words are plain, the hash is that of the words with their own values, in lower case. A
-        text of fewer than WINDOW words also has one of the template of the whole text.
+        Every window has a hash of its words with their own values, in lower case. Where LITERALS words or more are
+        plain, or the whole text has fewer than WINDOW words, it has one of its template, too.
         """
         windows, have = (self.windows, self.have) if width == WINDOW else shingles_of(self.words, self.bounds, width)
         own = mix(shingles_of(self.values, self.bounds, width)[0] ^ mix(np.uint64([width])))
         text = np.repeat(np.arange(len(have)), have)
         place = np.arange(len(text)) - np.repeat(np.cumsum(have) - have, have)
         if width == WINDOW:
-            return text, place, np.where(self.usable, windows, own), self.usable
-        literal = np.concatenate(([0], np.cumsum(self.kind == _WORD)))
-        at = self.bounds[text] + place
-        plain = literal[np.minimum(at + width, len(self.kind))] - literal[at] >= LITERALS
-        full = np.diff(self.bounds)[text] >= width
-        return text[full], place[full], np.where(plain, mix(windows ^ np.uint64(width)), own)[full], plain[full]
+            plain, full, whole = self.usable, np.ones(len(text), bool), windows
+        else:
+            literal = np.concatenate(([0], np.cumsum(self.kind == _WORD)))
+            at = self.bounds[text] + place
+            plain = literal[np.minimum(at + width, len(self.kind))] - literal[at] >= LITERALS
+            full, whole = np.diff(self.bounds)[text] >= width, mix(windows ^ np.uint64(width))
+        for keep, value, is_template in ((full, own, False), (full & plain, whole, True)):
+            yield text[keep], place[keep], value[keep], np.full(int(keep.sum()), is_template)
 
     def slots(self, text: int, place: int, width: int) -> list[dict]:
         """Placeholders of a window and what stands there."""
@@ -148,7 +152,7 @@ _SLOTS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("at", pa.int32()), ("
 def _windows(
     rows: DataFrame, key: str, wanted: np.ndarray | None, opening_name: bool = False, widths: list[int] | None = None
 ) -> DataFrame:
-    """Windows of (key, text): key, place, hash, slots, template; only those whose hash is `wanted` (sorted), if given.
+    """Windows of (key, text): key, place, hash, slots, template; only those that the map `wanted` may hold, if given.
 
     Windows have WINDOW words and `widths`; without `widths`, a text of fewer than WINDOW words also has that of its length.
     `template` is false for windows of own values, which have no slots.
@@ -161,48 +165,71 @@ def _windows(
                 counts = np.diff(made.bounds)
                 short = widths if widths is not None else np.unique(counts[(counts > 0) & (counts < WINDOW)]).tolist()
                 for width in (WINDOW, *short):
-                    text, place, window, plain = made.searched(width)
-                    keep = np.ones(len(window), bool) if widths is not None or width == WINDOW else counts[text] == width
-                    if wanted is not None:
-                        at = np.minimum(np.searchsorted(wanted, window), max(len(wanted) - 1, 0))
-                        keep = keep & (wanted[at] == window) if len(wanted) else np.zeros(len(keep), bool)
-                    text, place, window, plain = (x[keep] for x in (text, place, window, plain))
-                    slots = [made.slots(t, p, width) if q else [] for t, p, q in zip(text.tolist(), place.tolist(), plain.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(text)), pa.array(place), pa.array(window.view(np.int64)), pa.array(slots, _SLOTS_ARROW), pa.array(plain)],
-                        names=[key, "place", "window", "slots", "template"],
-                    )
+                    for text, place, window, plain in made.searched(width):
+                        keep = np.ones(len(window), bool) if widths is not None or width == WINDOW else counts[text] == width
+                        if wanted is not None:
+                            for bit in _bits(window):
+                                keep = keep & (wanted[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+                        text, place, window, plain = (x[keep] for x in (text, place, window, plain))
+                        slots = [made.slots(t, p, width) if q else [] for t, p, q in zip(text.tolist(), place.tolist(), plain.tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column(0).take(pa.array(text)), pa.array(place), pa.array(window.view(np.int64)), pa.array(slots, _SLOTS_ARROW), pa.array(plain)],
+                            names=[key, "place", "window", "slots", "template"],
+                        )
 
     return rows.mapInArrow(run, f"{key} bigint, place bigint, window bigint, slots {_SLOTS}, template boolean")
 
 
+def _bits(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a window in the map."""
+    most = np.uint64((1 << MAP_BITS) - 1)
+    return window & most, window >> np.uint64(MAP_BITS) & most
+
+
+def _window_map(own: DataFrame) -> np.ndarray:
+    """The map of a table's windows, of a fixed size; put together by Spark, one row for 64 bits at most."""
+    most = (1 << MAP_BITS) - 1
+    bits = F.array(F.col("window").bitwiseAND(most), F.shiftright("window", MAP_BITS).bitwiseAND(most))
+    rows = own.select(F.explode(bits).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit").bitwiseAND(63).cast("int"))).alias("bits")
+    )
+    out = np.zeros(1 << MAP_BITS - 6, np.uint64)
+    found = rows.toArrow()
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
 def _lengths(items: DataFrame) -> DataFrame:
-    """Template words of each item that has some."""
+    """Rows (item_id, words): template words of each item that has some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 counts = np.diff(templates(part.column(1)).bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(counts[counts > 0].astype(np.int64))], names=["words"])
+                some = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(some)), pa.array(counts[some].astype(np.int64))], names=["item_id", "words"]
+                )
 
-    return items.mapInArrow(run, "words bigint")
+    return items.mapInArrow(run, "item_id bigint, words bigint")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold a benchmark item, verbatim or with other numbers, names or units: one row per pair.
 
-    Columns: doc_id, item_id, windows (of the item), matched (distinct windows of it found), exact (all slots hold the
-    item's own values). `docs` has (doc_id, text), `benchmark` (item_id, text); null texts and items without words match
-    nothing, rows with a null id are left out, repeated rows count once. A pair is a leak if, on one alignment, RUN
-    windows in a row match, or windows of SHARE percent of the item; and if its slots are consistent: on that alignment
-    each value of the item is replaced by one value, and no two by the same.
+    Columns: doc_id, item_id, words (of the item), windows (of it), matched (distinct windows of it found), exact (found
+    with the item's own values). `docs` has (doc_id, text), `benchmark` (item_id, text); null texts and items without
+    words match nothing, rows with a null id are left out, repeated rows count once.
 
-    Windows with fewer than LITERALS plain words match with the item's own values only, in any case. Items of fewer than
-    WINDOW words are searched as a whole at their length, so a one-word item is found wherever its word stands. `exact` of
-    windows of own values is true.
+    On one alignment, windows that match one after the other are a run. Runs of windows with the item's own values, in
+    any case, count as they are. Runs of templates count if their slots are consistent: in the run each value of the
+    item is replaced by one value, and no two by the same. A pair is a leak if a run has RUN windows, or the runs of an
+    alignment hold SHARE percent of the item's windows. Windows with fewer than LITERALS plain words have no template.
+    Items of fewer than WINDOW words are searched as a whole at their length, so a one-word item is found wherever its
+    word stands; `words` tells them.
 
-    Windows of the benchmark are searched within the tasks while there are at most SEARCHED of them; beyond that all
-    windows are joined by a shuffle. Groups are by document and item, so no common item makes a large group.
+    Windows are looked up in a map of the benchmark's, of one size for every benchmark, and what it lets through is
+    joined by hash. Groups are by document and item, so no common item makes a large group.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -210,53 +237,51 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # an item's first word may stand within a sentence of a document
     own = _windows(items, "item_id", None).union(_windows(items, "item_id", None, opening_name=True)).distinct()
     own = stored(own.withColumnsRenamed({"place": "item_place", "slots": "item_slots"}), "benchmark-windows")
+    sizes = stored(_lengths(items).groupBy("item_id").agg(F.max("words").alias("words")), "benchmark-lengths")
     totals = own.groupBy("item_id").agg(
         F.countDistinct("item_place").alias("windows"), F.countDistinct(F.when(F.col("template"), F.col("item_place"))).alias("templates")
-    )
-    sizes = _lengths(items).where(F.col("words") < WINDOW).select("words").distinct().collect()  # at most 7
-    widths = sorted(r["words"] for r in sizes)
-    few = own.count() <= SEARCHED
-    wanted = np.unique(np.array([r[0] for r in own.select("window").distinct().collect()], np.int64).view(np.uint64)) if few else None
+    ).join(sizes, "item_id")
+    widths = sorted(r["words"] for r in sizes.where(F.col("words") < WINDOW).select("words").distinct().collect())  # at most 7
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     met = stored(
-        beside(_windows(rows, "doc_id", wanted, widths=widths), own, ["window", "template"], "inner")
+        beside(_windows(rows, "doc_id", _window_map(own), widths=widths), own, ["window", "template"], "inner")
         .withColumn("shift", F.col("place") - F.col("item_place"))
-        .select("doc_id", "item_id", "shift", "item_place", "slots", "item_slots", "template"),
+        .select("doc_id", "item_id", "template", "shift", "item_place", "slots", "item_slots"),
         "met-windows",
     )
-    pair, line = ["doc_id", "item_id"], ["doc_id", "item_id", "shift"]
+    pair, line = ["doc_id", "item_id"], ["doc_id", "item_id", "template", "shift"]
+    # a run of consecutive places has a constant difference of place and rank; a line has at most the item's windows
+    rank = F.dense_rank().over(Window.partitionBy(*line).orderBy("item_place"))
+    placed = met.withColumn("run", F.col("item_place") - rank)
     swaps = (
-        met.select(*line, F.explode(F.arrays_zip("slots", "item_slots")).alias("s"))
-        .select(*line, F.concat_ws(":", "s.item_slots.kind", "s.item_slots.value").alias("was"), F.concat_ws(":", "s.slots.kind", "s.slots.value").alias("now"))
+        placed.select(*line, "run", F.explode(F.arrays_zip("slots", "item_slots")).alias("s"))
+        .select(*line, "run", F.concat_ws(":", "s.item_slots.kind", "s.item_slots.value").alias("was"), F.concat_ws(":", "s.slots.kind", "s.slots.value").alias("now"))
         .distinct()
     )
-    one_to_one = swaps.groupBy(*line).agg(
+    one_to_one = swaps.groupBy(*line, "run").agg(
         F.count("*").alias("n"), F.countDistinct("was").alias("from"), F.countDistinct("now").alias("to"),
-        F.bool_and(F.col("was") == F.col("now")).alias("exact"),
+        F.bool_and(F.col("was") == F.col("now")).alias("same"),
     )
-    # a run of consecutive places has a constant difference of place and rank
-    places = met.groupBy(*line).agg(F.sort_array(F.collect_set("item_place")).alias("places"), F.countDistinct(F.when(F.col("template"), F.col("item_place"))).alias("plain"))  # at most the item's windows
-    steps = F.transform("places", lambda p, k: p - k)
-    longest = F.array_max(F.transform(F.array_distinct(steps), lambda d: F.size(F.filter("steps", lambda x: x == d))))
-    found = (
-        places.withColumn("steps", steps)
-        .withColumn("run", longest)
-        .join(totals, "item_id")
-        .withColumn("matched", F.size("places").cast("long"))
-        .where(
-            (F.col("run") >= RUN) | (100 * F.col("matched") >= SHARE * F.col("windows"))
-            | ((F.col("plain") > 0) & (100 * F.col("plain") >= SHARE * F.col("templates")))
-        )
-        .select(*line, "windows", "matched")
-        .join(one_to_one, line, "left")
+    runs = (
+        placed.groupBy(*line, "run").agg(F.countDistinct("item_place").alias("size"))
+        .join(one_to_one, [*line, "run"], "left")
         .where("n IS NULL OR (n = `from` AND n = `to`)")
     )
+    lines = runs.groupBy(*line).agg(
+        F.max("size").alias("longest"), F.sum("size").alias("matched"), F.bool_and(F.coalesce("same", F.lit(True))).alias("same")
+    )
+    found = lines.join(totals, "item_id").where(
+        (F.col("longest") >= RUN) | (100 * F.col("matched") >= SHARE * F.col("windows"))
+        | (F.col("template") & (100 * F.col("matched") >= SHARE * F.col("templates")))
+    )
     return found.groupBy(*pair).agg(
-        F.max("windows").alias("windows"), F.max("matched").alias("matched"), F.bool_or(F.coalesce("exact", F.lit(True))).alias("exact")
+        F.max("words").alias("words"), F.max("windows").alias("windows"), F.max("matched").alias("matched"),
+        F.bool_or(~F.col("template") | F.col("same")).alias("exact"),
     )
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the documents that hold a benchmark item; rows without an id stay."""
-    found = stored(leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """`docs` without the documents that hold a benchmark item of `least_words` words or more; rows without an id stay."""
+    held = leaks(docs, benchmark).where(F.col("words") >= least_words)
+    found = stored(held.select("doc_id").distinct(), "leaks")
     return beside(docs, found, "doc_id", "left_anti").select(*docs.columns)

@@ -176,14 +176,14 @@ def test_leaks(spark):
     mixed = ITEM.replace("Maria gives", "Olga gives")  # one value, two replacements
     texts = odd_texts() + [
         (20, " ".join(prose(1, 50)) + " " + ITEM + " end"), (21, "Start. " + changed), (22, mixed), (23, " ".join(prose(2, 300))),
-        (24, "A farmer sells 5 kg of pears."), (25, ITEM.lower()),
+        (24, "A farmer sells 5 kg of pears."), (25, ITEM.lower()), (26, "so " + ITEM.upper()), (27, ITEM.replace(" ", "\n")),
     ]
     items = spark.createDataFrame([(1, ITEM), (2, None), (None, "no id"), (3, ""), (4, " ".join(prose(9, 40))), (1, ITEM)], "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]): r["exact"] for r in leaks(table(spark, texts), items).collect()}
-    assert got == {(20, 1): True, (21, 1): False}
+    assert got == {(20, 1): True, (21, 1): False, (22, 1): True, (25, 1): True, (26, 1): True, (27, 1): True}
     docs = table(spark, texts)
     left = without_leaks(docs, items)
-    assert left.columns == docs.columns and left.count() == len(texts) - 2
+    assert left.columns == docs.columns and left.count() == len(texts) - 6
     assert without_leaks(docs, items.limit(0)).count() == len(texts) and leaks(docs.limit(0), items).count() == 0
 
 
@@ -197,6 +197,48 @@ def test_leaks_of_short_and_number_heavy_items(spark):
     got = {(r["doc_id"], r["item_id"]): r["exact"] for r in leaks(table(spark, texts), items).collect()}
     assert {k: got.pop(k, None) for k in [(100, 0), (101, 1), (102, 2), (103, 3)]} == dict.fromkeys([(100, 0), (101, 1), (102, 2), (103, 3)], True)
     assert set(got) <= {(202, 3)}  # the whole document is the template
+    docs = table(spark, texts)
+    kept = {r["doc_id"] for r in without_leaks(docs, items).collect()}
+    assert kept == {100, 103, 200, 201, 202}  # items of fewer words reject nothing
+    assert {r["doc_id"] for r in without_leaks(docs, items, least_words=3).collect()} == {200, 201} | ({202} - {d for d, _ in got})
+
+
+def brute_leaks(texts, items):
+    """Verbatim and re-valued copies, told by words alone: pairs with 13 equal words in a row, or half the item's windows."""
+    cut = lambda t: [w.lower() for w in re.findall(r"\d+(?:[.,]\d+)*|[^\W\d_]+|%", t or "")]
+    out = set()
+    for i, item in items:
+        words = cut(item)
+        windows = {tuple(words[k : k + 8]): k for k in range(len(words) - 7)}
+        for d, text in texts:
+            own = cut(text)
+            lines = {}
+            for at in range(len(own) - 7):
+                k = windows.get(tuple(own[at : at + 8]))
+                if k is not None:
+                    lines.setdefault(at - k, set()).add(k)
+            for places in lines.values():
+                runs = max(next(n for n in range(1, len(windows) + 2) if p + n not in places) for p in places)
+                if runs >= 6 or 100 * len(places) >= 50 * len(windows):
+                    out.add((d, i))
+    return out
+
+
+def test_exact_leaks_equal_brute_force(spark):
+    rng = random.Random(12)
+    items = [(k, " ".join(prose(500 + k, rng.randint(15, 40)))) for k in range(8)]
+    texts = []
+    for k in range(120):
+        words = prose(900 + k, 60)
+        source = rng.choice(items)[1].split()
+        a = rng.randrange(len(source))
+        cut = source[a : a + rng.randint(5, 40)]
+        case = rng.choice([str.lower, str.upper, str])
+        texts.append((k, " ".join(words[:30] + [case(w) for w in cut] + words[30:])))
+    frame = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(table(spark, texts), frame).collect() if r["exact"]}
+    want = brute_leaks(texts, items)
+    assert got == want and 20 < len(want) < 120
 
 
 def test_pipeline_stages(spark, tmp_path):
