@@ -34,7 +34,7 @@ def _cents(amount: Column) -> Column:
     return F.round(amount * 100).cast("bigint")
 
 
-def _billed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def billed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per invoice: the order's figures and its lines, sorted.
 
     The lines of an order end up in one text, hence in one value.  The merge join keeps the lines where their
@@ -57,6 +57,19 @@ def _billed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def true_items(items: Column) -> Column:
+    """The items of an order as an extraction should return them."""
+
+    def item(i: Column) -> Column:
+        unit = F.floor((2 * i["cents"] + i["qty"]) / (2 * i["qty"]))
+        return F.struct(
+            F.concat(F.lit("Part#"), padded(i["l_partkey"], 6), F.lit(" "), i["l_returnflag"]).alias("description"),
+            i["qty"].cast("double").alias("quantity"), (unit / 100).alias("unit_price"), (i["cents"] / 100).alias("amount"),
+        )
+
+    return F.transform(items, item)
+
+
 def _grouped(digits: Column, size: int, mark: str) -> Column:
     return F.regexp_replace(digits, r"(?<=\d)(?=(?:\d{%d})+$)" % size, mark)
 
@@ -176,7 +189,7 @@ def _invoice_text() -> Column:
 
 def rendered_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table docs(doc_id, raw_text): one text per invoice."""
-    return _billed_orders(spark, sf_dir).select("doc_id", _invoice_text().alias("raw_text"))
+    return billed_orders(spark, sf_dir).select("doc_id", _invoice_text().alias("raw_text"))
 
 
 def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +199,7 @@ def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_add("odate", 7)
     delivery = F.when(style == 0, F.date_format(day, "d MMMM yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd"))
     closing = F.concat(F.lit("\nPO Number: PO-"), padded(k, 6), F.lit("\nDelivery Date: "), delivery)
-    return _billed_orders(spark, sf_dir).select(
+    return billed_orders(spark, sf_dir).select(
         "doc_id", F.concat(_invoice_text(), F.when(k % 4 == 1, closing).otherwise("")).alias("raw_text")
     )
 

@@ -121,6 +121,32 @@ hits AS (
 )
 """
 
+# What stands behind the keywords of a rendered invoice.
+_NEAR = f"""
+ dated AS (
+  SELECT doc_id, 'invoice_date' AS kind, 0 AS kw,
+    CASE WHEN num <> 0 THEN 3 WHEN dat = 2 THEN 5 WHEN dat IN (5, 6) THEN 6 ELSE 7 END AS d,
+    CASE WHEN dat < 7 THEN odate ELSE due_said END AS day
+  FROM truth WHERE (num = 0 AND (dat < 7 OR due IN (0, 1, 3, 5))) OR dat IN (0, 3, 4)
+  UNION ALL SELECT doc_id, 'invoice_date', 1, 2, CASE WHEN dat IN (1, 2, 7) THEN due_said ELSE odate END
+    FROM truth WHERE dat IN (0, 3, 4, 5, 6) OR due IN (0, 3, 5)
+  UNION ALL SELECT doc_id, 'invoice_date', 2, 3, odate FROM truth WHERE dat = 1
+  UNION ALL SELECT doc_id, 'invoice_date', 3, 1, odate FROM truth WHERE dat = 2
+  UNION ALL SELECT doc_id, 'due_date', 0, 3, due_said FROM truth WHERE due IN (0, 3, 5)
+  UNION ALL SELECT doc_id, 'due_date', 1, 3, due_said FROM truth WHERE due = 1
+), near AS (
+SELECT doc_id, 'total_amount' AS kind, CAST(kw AS INT) AS kw_no, CAST(d AS INT) AS distance,
+  CAST(CASE d WHEN 2 THEN 0.82 WHEN 3 THEN 0.80 ELSE 0.78 END AS DOUBLE) AS confidence, {_AMOUNT_TEXT} AS value
+FROM truth JOIN (VALUES (0, 0, 2), (0, 1, 3), (1, 0, 4), (1, 2, 2), (2, 2, 2), (3, 2, 2), (4, 3, 2), (5, 0, 2))
+  v(t, kw, d) ON tot = t
+WHERE cur < 4
+UNION ALL
+SELECT doc_id, kind, CAST(kw AS INT), CAST(d AS INT),
+  CAST(CASE d WHEN 1 THEN 0.84 WHEN 2 THEN 0.83 WHEN 3 THEN 0.81 WHEN 5 THEN 0.79 WHEN 6 THEN 0.78 ELSE 0.76 END AS DOUBLE),
+  CAST(day AS VARCHAR) FROM dated
+)
+"""
+
 _ITEMS = """
 items AS (
   SELECT doc_id, string_agg('Part#' || lpad(CAST(l_partkey AS VARCHAR), CAST(greatest(6, length(CAST(l_partkey AS VARCHAR))) AS INT), '0')
@@ -238,6 +264,15 @@ SELECT field, count(*) AS n_docs, count(*) FILTER (c > 0) AS n_found,
   count(*) FILTER (c >= 0.80) AS n_high, count(*) FILTER (c >= 0.55 AND c < 0.80) AS n_moderate,
   count(*) FILTER (c > 0 AND c < 0.55) AS n_low, count(*) FILTER (c = 0) AS n_not_found
 FROM long GROUP BY field
+""",
+    "review_ranks": TRUTH + """
+SELECT doc_id, overall_confidence, row_number() OVER (ORDER BY overall_confidence, doc_id) AS rank FROM truth
+WHERE overall_confidence < 0.60
+""",
+    "reconcile_items": TRUTH + """
+SELECT doc_id, CAST(n_items - CAST(n_items > 0 AND k % 4 IN (1, 3) AS INT) AS INT) AS matched,
+  CAST(n_items > 0 AND k % 4 = 3 AS INT) AS changed, CAST(k % 4 = 2 AS INT) AS missing,
+  CAST(n_items > 0 AND k % 4 = 1 AS INT) AS extra FROM truth
 """,
     "review_queue": TRUTH + "SELECT doc_id, overall_confidence FROM truth WHERE overall_confidence < 0.60",
     "reconcile": TRUTH
@@ -320,30 +355,15 @@ SELECT h.field, CAST(h.rule_no AS INT) AS rule_no, count(*) AS n_hits, count(*)
   count(*) FILTER (h.value <> w.value) AS n_conflicts
 FROM hits h JOIN winners w ON h.doc_id = w.doc_id AND h.field = w.field GROUP BY 1, 2
 """,
-    "entity_near_keyword": TRUTH
-    + f"""
-, dated AS (
-  SELECT doc_id, 'invoice_date' AS kind, 0 AS kw,
-    CASE WHEN num <> 0 THEN 3 WHEN dat = 2 THEN 5 WHEN dat IN (5, 6) THEN 6 ELSE 7 END AS d,
-    CASE WHEN dat < 7 THEN odate ELSE due_said END AS day
-  FROM truth WHERE (num = 0 AND (dat < 7 OR due IN (0, 1, 3, 5))) OR dat IN (0, 3, 4)
-  UNION ALL SELECT doc_id, 'invoice_date', 1, 2, CASE WHEN dat IN (1, 2, 7) THEN due_said ELSE odate END
-    FROM truth WHERE dat IN (0, 3, 4, 5, 6) OR due IN (0, 3, 5)
-  UNION ALL SELECT doc_id, 'invoice_date', 2, 3, odate FROM truth WHERE dat = 1
-  UNION ALL SELECT doc_id, 'invoice_date', 3, 1, odate FROM truth WHERE dat = 2
-  UNION ALL SELECT doc_id, 'due_date', 0, 3, due_said FROM truth WHERE due IN (0, 3, 5)
-  UNION ALL SELECT doc_id, 'due_date', 1, 3, due_said FROM truth WHERE due = 1
+    "entity_near_keyword": f"{TRUTH}, {_NEAR} SELECT * FROM near",
+    "claim_conflicts": f"""{TRUTH}, {_HITS}, {_NEAR}, claims AS (
+  SELECT doc_id, field, 'rule' AS who, value FROM hits UNION ALL SELECT doc_id, kind, 'entity', value FROM near
+), sides AS (
+  SELECT doc_id, field, count(DISTINCT value) FILTER (who = 'rule') AS r, count(DISTINCT value) FILTER (who = 'entity') AS e,
+    count(DISTINCT value) AS b FROM claims GROUP BY ALL
 )
-SELECT doc_id, 'total_amount' AS kind, CAST(kw AS INT) AS kw_no, CAST(d AS INT) AS distance,
-  CAST(CASE d WHEN 2 THEN 0.82 WHEN 3 THEN 0.80 ELSE 0.78 END AS DOUBLE) AS confidence, {_AMOUNT_TEXT} AS value
-FROM truth JOIN (VALUES (0, 0, 2), (0, 1, 3), (1, 0, 4), (1, 2, 2), (2, 2, 2), (3, 2, 2), (4, 3, 2), (5, 0, 2))
-  v(t, kw, d) ON tot = t
-WHERE cur < 4
-UNION ALL
-SELECT doc_id, kind, CAST(kw AS INT), CAST(d AS INT),
-  CAST(CASE d WHEN 1 THEN 0.84 WHEN 2 THEN 0.83 WHEN 3 THEN 0.81 WHEN 5 THEN 0.79 WHEN 6 THEN 0.78 ELSE 0.76 END AS DOUBLE),
-  CAST(day AS VARCHAR) FROM dated
-""",
+SELECT field, count(*) AS n_docs, count(*) FILTER (r > 1) AS n_rule_rule, count(*) FILTER (r > 0 AND e > 0 AND b > 1) AS n_rule_entity,
+  count(*) FILTER (e > 1) AS n_entity_entity FROM sides GROUP BY field""",
     "entity_scores": TRUTH
     + f"""
 SELECT doc_id, 'ORG' AS label, vendor_name AS value, CAST(0.90 AS DOUBLE) AS confidence FROM truth WHERE ven < 3
@@ -614,3 +634,14 @@ SELECT doc_id, CAST(length AS BIGINT) AS length,
   CASE WHEN slot IN (0, 1, 4) THEN 'docx' END AS loader, CASE WHEN slot IN (0, 1, 4) THEN 200 ELSE 415 END AS intake_status
 FROM zips
 """
+
+_TURNS = "SELECT conv_id AS doc_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id"
+ORACLES |= {
+    "intake_days": f"""WITH {_DOC_FILES}
+SELECT key AS doc_id, DATE '2024-01-01' + CAST(key % 3 AS INT) AS intake_day, CASE status WHEN 200 THEN 'accepted' ELSE 'rejected' END
+  AS outcome, status AS intake_status FROM admitted WHERE key % 3 <> 1 OR key % 2 = 0""",
+    "json_corpus": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
+    "text_files": f"SELECT doc_id, md5(t) AS text_md5 FROM ({_TURNS})",
+    "small_files": f"""SELECT doc_id, CAST(strlen(t) AS BIGINT) AS length,
+  left(hex(encode(t)), 24) AS header FROM ({_TURNS}) WHERE strlen(t) <= 2000""",
+}

@@ -36,8 +36,8 @@ from invoicelake.plans.extraction import (
     suffix_line,
 )
 from invoicelake.plans.pipeline import assembled_texts, run_pipeline
-from invoicelake.sources.readers import read_text_corpus
-from invoicelake.sources.writers import bucketed, write_quarantine, write_results
+from invoicelake.sources.readers import read_files, read_text_corpus
+from invoicelake.sources.writers import bucketed, write_intake, write_quarantine, write_results
 from invoicelake.streaming.extract import stream_extract
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,6 +176,28 @@ def reconcile(spark, sf_dir):
     return reports.reconcile(_results(spark, sf_dir), truth)
 
 
+@query
+def review_ranks(spark, sf_dir):
+    ranked = reports.write_review(_results(spark, sf_dir), scratch(spark, "review"))
+    return ranked.select("doc_id", "overall_confidence", "rank")
+
+
+@query
+def reconcile_items(spark, sf_dir):
+    """Line items against a truth in which, by key, one is left out, added or changed."""
+    kind = F.col("doc_id") % 4
+    items = F.transform(C.true_items(F.col("items")), lambda i, k: i.withField("amount", F.when((kind == 3) & (k == 0), i["amount"] + 1).otherwise(i["amount"])))
+    none, ghost = F.lit(None).cast("double"), F.lit("Ghost")
+    added = F.array(F.struct(ghost.alias("description"), none.alias("quantity"), none.alias("unit_price"), none.alias("amount")))
+    truth = C.billed_orders(spark, sf_dir).select(
+        "doc_id",
+        F.when((kind == 1) & (F.size(items) > 0), F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0))))
+        .when(kind == 2, F.concat(added, F.reverse(items)))
+        .otherwise(F.reverse(items)).alias("line_items"),
+    )
+    return reports.reconcile_items(_results(spark, sf_dir), truth)
+
+
 @query
 def extract_full(spark, sf_dir):
     return _shown(_results(spark, sf_dir))
@@ -266,6 +288,12 @@ def rule_table_rows(spark, sf_dir):
     )
 
 
+@query
+def claim_conflicts(spark, sf_dir):
+    docs, tokens, spans = _tagged(spark, sf_dir)
+    return reports.conflict_report(reports.claims(rule_hits(docs), E.near_keywords(tokens, spans)))
+
+
 # --- Entities -------------------------------------------------------------------
 
 
@@ -574,6 +602,53 @@ def pipeline_invoices(spark, sf_dir):
     return _shown(run.results)
 
 
+@query
+def intake_days(spark, sf_dir):
+    """Three days of uploads; the second is run again, with every other file."""
+    path = scratch(spark, "intake")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 3).cast("int"))
+    files = intake.admit(C.document_files(spark, sf_dir)).withColumn("intake_day", day)
+    write_intake(files, path)
+    write_intake(files.filter("doc_id % 3 = 1 AND doc_id % 2 = 0"), path)
+    return spark.read.parquet(path).select("doc_id", "intake_day", "outcome", "intake_status")
+
+
+# --- Files ----------------------------------------------------------------------
+
+
+@query
+def json_corpus(spark, sf_dir):
+    path = scratch(spark, "json")
+    C.table(spark, sf_dir, "documents").select("doc_id", "text").write.json(path)
+    docs = read_text_corpus(spark, path, fmt="json", schema="doc_id bigint, text string")
+    return docs.select("doc_id", F.md5("raw_text").alias("text_md5"))
+
+
+def _turn_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with one text file per conversation, a line a turn."""
+    path = scratch(spark, "turns")
+    turns = C.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("value"))
+    lots = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value")
+    lots.write.partitionBy("conv_id").text(path)
+    return path
+
+
+def _conversation_of(path: Column) -> Column:
+    return F.regexp_extract(path, r"conv_id=(\d+)", 1).cast("bigint").alias("doc_id")
+
+
+@query
+def text_files(spark, sf_dir):
+    docs = read_text_corpus(spark, _turn_files(spark, sf_dir), fmt="text")
+    return docs.select(_conversation_of(F.col("doc_id")), F.md5("raw_text").alias("text_md5"))
+
+
+@query
+def small_files(spark, sf_dir):
+    files = read_files(spark, _turn_files(spark, sf_dir), pattern="*.txt", max_bytes=2000)
+    return files.select(_conversation_of(F.col("path")), "length", F.hex("header").alias("header"))
+
+
 @query
 def quarantine_sink(spark, sf_dir):
     path = scratch(spark, "quarantine")
