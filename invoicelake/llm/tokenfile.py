@@ -86,6 +86,21 @@ class EliasFano:
         window = int.from_bytes(self.low[first // 8 : (first + self.bits + 7) // 8].tobytes(), "little")
         return top << self.bits | window >> first % 8 & (1 << self.bits) - 1
 
+    def run(self, a: int, b: int) -> np.ndarray:
+        """The numbers from a to b - 1: the set bits between the sample at or before a and the one behind b."""
+        if a >= b:
+            return np.zeros(0, np.uint64)
+        first, behind = int(self.samples[a // SAMPLE]), (b - 1) // SAMPLE + 1
+        stop = int(self.samples[behind]) if behind < len(self.samples) else 8 * len(self.high)
+        byte = first // 8
+        places = np.flatnonzero(np.unpackbits(self.high[byte : (stop + 7) // 8], bitorder="little")) + 8 * byte
+        places = places[places >= first][a % SAMPLE :][: b - a]
+        start = a * self.bits
+        flags = np.unpackbits(self.low[start // 8 : (b * self.bits + 7) // 8], bitorder="little")
+        parts = flags[start % 8 :][: (b - a) * self.bits].reshape(b - a, self.bits)
+        low = (parts.astype(np.uint64) << np.arange(self.bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+        return (places - np.arange(a, b)).astype(np.uint64) << np.uint64(self.bits) | low
+
     def all(self) -> np.ndarray:
         """All numbers."""
         places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
@@ -105,15 +120,40 @@ def dump_file(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, wi
     return [head, gaps.dump(), ends.dump(), ids.astype(f"<u{width}").tobytes()]
 
 
-def load_file(data: memoryview) -> tuple[list[int | None], EliasFano, np.ndarray]:
-    """What dump_file was given, the counts as ends of documents."""
+@dataclass
+class TokenFile:
+    """An open token file: ids and ends of documents are read from their sequences in parts, never as whole tables."""
+
+    nulls: int
+    base: int
+    gaps: EliasFano
+    ends: EliasFano
+    ids: np.ndarray
+
+    def doc_ids(self, a: int, b: int) -> list[int | None]:
+        """Ids of the documents from a to b - 1."""
+        known = self.gaps.run(max(a - self.nulls, 0), max(b - self.nulls, 0))
+        return [None] * max(min(b, self.nulls) - a, 0) + [self.base + int(x) for x in known]
+
+    def bounds(self, a: int, b: int) -> np.ndarray:
+        """Where the documents from a to b - 1 start, and where the last ends."""
+        start = self.ends.select(a - 1) if a else 0
+        return np.concatenate(([start], self.ends.run(a, b).astype(np.int64)))
+
+
+def open_file(data: memoryview) -> TokenFile:
     if bytes(data[: len(MAGIC)]) != MAGIC:
         raise ValueError("not a token file")
     width, _, n_tokens, base, nulls = struct.unpack_from("<BQQqQ", data, len(MAGIC))
     gaps, at = EliasFano.load(data, len(MAGIC) + struct.calcsize("<BQQqQ"))
     ends, at = EliasFano.load(data, at)
-    doc_ids = [None] * nulls + [base + int(x) for x in gaps.all()]
-    return doc_ids, ends, np.frombuffer(data, f"<u{width}", n_tokens, at)
+    return TokenFile(nulls, base, gaps, ends, np.frombuffer(data, f"<u{width}", n_tokens, at))
+
+
+def load_file(data: memoryview) -> tuple[list[int | None], EliasFano, np.ndarray]:
+    """What dump_file was given, the counts as ends of documents."""
+    file = open_file(data)
+    return file.doc_ids(0, file.ends.n), file.ends, file.ids
 
 
 def write_token_files(
@@ -182,7 +222,8 @@ def read_token_files(spark: SparkSession, files: DataFrame, with_ids: bool = Fal
     """Documents of token files (as write_token_files returns them): doc_id, start, n_tokens, ids_crc32, and `ids` on demand.
 
     `start` counts the ids of all documents before, n_tokens includes the end id, ids_crc32 is the CRC-32 of all ids as
-    little-endian 32-bit integers.
+    little-endian 32-bit integers. Bounds come from the files' sequences by select, 2,000 documents at a time. Empty
+    files tables give no rows.
     """
     small_batches(spark)
     files = stored(files.select("file", "path", F.col("start").alias("file_start")), "token-files")
@@ -195,17 +236,17 @@ def read_token_files(spark: SparkSession, files: DataFrame, with_ids: bool = Fal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                doc_ids, ends, ids = load_file(memoryview(batch.column(1)[k].as_buffer()))
-                bounds = np.concatenate(([0], ends.all().astype(np.int64)))
-                n = len(doc_ids)
+                file = open_file(memoryview(batch.column(1)[k].as_buffer()))
+                n = file.ends.n
                 for a in range(0, n, 2000):
                     b = min(n, a + 2000)
-                    wide = ids[bounds[a] : bounds[b]].astype("<u4")
-                    cut = bounds[a : b + 1] - bounds[a]
+                    bounds = file.bounds(a, b)
+                    wide = file.ids[bounds[0] : bounds[-1]].astype("<u4")
+                    cut = bounds - bounds[0]
                     crc = [zlib.crc32(wide[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                     columns = [
-                        pa.array([batch.column(0)[k].as_py()] * (b - a), pa.string()), pa.array(doc_ids[a:b], pa.int64()),
-                        pa.array(bounds[a:b]), pa.array(np.diff(cut)), pa.array(crc, pa.int64()),
+                        pa.array([batch.column(0)[k].as_py()] * (b - a), pa.string()), pa.array(file.doc_ids(a, b), pa.int64()),
+                        pa.array(bounds[:-1]), pa.array(np.diff(cut)), pa.array(crc, pa.int64()),
                     ]
                     if extra:
                         columns.append(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(wide.astype(np.int32))))

@@ -68,6 +68,9 @@ def test_decode_skips_unknown_ids_and_keeps_null(spark):
 def test_elias_fano_round_trip(values):
     made, end = EliasFano.load(memoryview(EliasFano.of(np.array(values, np.uint64)).dump()), 0)
     assert made.all().tolist() == values and [made.select(i) for i in range(len(values))] == values
+    for a in (0, 1, 63, 64, 65, 200):
+        for b in (a, a + 1, a + 64, a + 300):
+            assert made.run(min(a, len(values)), min(b, len(values))).tolist() == values[a:b]
     with pytest.raises(IndexError):
         made.select(len(values))
 
