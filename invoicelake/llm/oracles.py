@@ -46,7 +46,7 @@ FROM bits LEFT JOIN (VALUES (1, 'too_few_words'), (2, 'too_many_repeats'), (4, '
 ORACLES["op7_shards"] = """
 WITH rows AS (
     SELECT doc_id, strlen(text)::INTEGER AS n_bytes,
-           ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS address
+           ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 11) || substr(md5(coalesce(text, '')), 1, 4))::BIGINT AS address
     FROM documents
 ), levels AS (
     SELECT depth::INTEGER AS depth, address >> (60 - depth)::BIGINT AS prefix, sum(coalesce(n_bytes, 0))::BIGINT AS bytes

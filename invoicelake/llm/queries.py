@@ -19,7 +19,7 @@ from invoicelake.llm.oracles import ORACLES  # noqa: F401
 from invoicelake.llm.passages import repeated_passages
 from invoicelake.llm.quality import BASE, ablations, ledger, passes, sole_rule
 from invoicelake.llm.secrets import BASE_KINDS, count_of, joined, scan_secrets
-from invoicelake.llm.sharding import shards
+from invoicelake.llm.sharding import write_shards
 from invoicelake.llm.tokencount import token_counts
 from invoicelake.llm.tokenfile import read_token_files, write_token_files
 from invoicelake.llm.toxicity import THRESHOLD, held_out, score_toxicity, train_on_tables
@@ -79,8 +79,10 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select("doc_id", F.octet_length("text").alias("n_bytes"))
-    return shards(rows, SHARD_BYTES, "doc_id", F.col("n_bytes"))
+    """The shards are written with their texts; the rows are read from them."""
+    rows = documents(spark, sf_dir).withColumn("n_bytes", F.octet_length("text"))
+    folder = write_shards(rows, SHARD_BYTES, "doc_id", F.col("n_bytes"), row=F.col("text"))
+    return spark.read.parquet(folder).select("doc_id", "n_bytes", "shard", "shard_depth", "shard_bytes")
 
 
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

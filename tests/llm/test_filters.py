@@ -160,12 +160,19 @@ def test_shards_fit_and_are_prefixes(spark, tmp_path):
     names = sorted(sizes)
     assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
     over = {s for s in sizes if sizes[s] > 300}
-    assert over == {r["shard"] for r in out if r["doc_id"] == 7}  # one key can't be split
+    assert over == {r["shard"] for r in out if r["n"] == 900}  # equal rows can't be split
     for s in names:  # a shard was split off only from an oversized bucket
         assert not s or sum(n for t, n in sizes.items() if t.startswith(s[:-1])) > 300
     assert shards(rows.limit(0), 300, "doc_id", F.col("n")).count() == 0
     folder = write_shards(rows, 300, "doc_id", F.col("n"), str(tmp_path / "shards"))
-    assert spark.read.parquet(folder).count() == 503
+    back = spark.read.parquet(folder)
+    assert sorted(map(tuple, back.select("doc_id", "n", "shard").collect()), key=str) == sorted(((r["doc_id"], r["n"], r["shard"]) for r in out), key=str)
+    hot = spark.createDataFrame([(7, 10, f"t{k}") for k in range(400)] + [(None, 10, None)] * 2, "doc_id bigint, n int, text string")
+    split = shards(hot, 300, "doc_id", F.col("n"), F.col("text")).collect()
+    assert len(split) == 402 and all(r["shard_bytes"] <= 300 for r in split)
+    assert {r["shard_depth"] > 44 for r in split if r["doc_id"] == 7} == {True}  # a hot key is split by its rows
+    whole = write_shards(hot, 10_000, "doc_id", F.col("n"), str(tmp_path / "whole"))
+    assert {r["shard"] for r in spark.read.parquet(whole).collect()} == {""}
 
 
 ITEM = "A farmer sells 12 kg of apples to Maria and 30 kg to Peter, then Maria gives 12 kg back to the farmer before noon."
