@@ -267,7 +267,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secret_scan", "encode"]
 
 
-@pytest.mark.parametrize("name", ["op2_near_duplicates", "op7_shards", "op8_quality_ledger"])
+@pytest.mark.parametrize("name", ["op2_near_duplicates", "op7_shards", "op8_quality_ledger", "op11_hard_negatives", "op13_merkle_proofs"])
 def test_queries_have_sql(name):
     from invoicelake.llm.queries import ORACLES, QUERIES
 
