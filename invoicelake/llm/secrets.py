@@ -6,7 +6,7 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,13 +26,18 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "key", "encoded")
 BASE_KINDS = KINDS[:3]
 
 _HINTS = ("passw", "secret", "token", "api")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)(?=\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+))")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
 # the shortest assign, token=abcdef, has 12 bytes
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _HEX_ANY = re.compile(r"[0-9A-Fa-f]{24,}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+# UTF-8 without control characters, as long as the shortest assign, and the start of a private key in DER
+_READABLE = re.compile(
+    rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}"
+)
+_DER_START = re.compile(rb"(?s)(?=\x30(?:[\x00-\x7f]|\x81.|\x82..|\x83.{3}|\x84.{4})\x02\x01)")
 # Object identifiers of key types in DER (RSA, EC, Ed25519, X25519).
 _KEY_TYPES = tuple(map(bytes.fromhex, ("06092a864886f70d010101", "06072a8648ce3d0201", "06032b6570", "06032b656e")))
 _SSH_MAGIC = b"openssh-key-v1\0"
@@ -86,25 +91,30 @@ def is_private_der(data: bytes) -> bool:
     return False
 
 
-def is_private_ssh(data: bytes) -> bool:
-    """An OpenSSH private key: its magic, then length-prefixed strings that all fit."""
-    if not data.startswith(_SSH_MAGIC):
-        return False
-    at = len(_SSH_MAGIC)
+def _ssh_length(data: bytes, start: int = 0) -> int | None:
+    """Bytes of the OpenSSH private key that starts there: its magic, then length-prefixed strings that all fit."""
+    if not data.startswith(_SSH_MAGIC, start):
+        return None
+    at = start + len(_SSH_MAGIC)
     for part in range(3):  # cipher, key derivation, its options
         size = int.from_bytes(data[at : at + 4], "big")
         at += 4 + size
         if at + 4 > len(data) or (part < 2 and size == 0):
-            return False
+            return None
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
     if not 1 <= keys <= 16:
-        return False
+        return None
     for _ in range(keys + 1):  # public keys, then the private part
         if at + 4 > len(data):
-            return False
+            return None
         at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at == len(data)
+    return at - start if at <= len(data) else None
+
+
+def is_private_ssh(data: bytes) -> bool:
+    """An OpenSSH private key and nothing behind it."""
+    return _ssh_length(data) == len(data)
 
 
 def is_signed_token(header: str, payload: str) -> bool:
@@ -147,7 +157,7 @@ def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
                     yield lines[first].start(), lines[end - 1].end(), "".join(x[0] for x in lines[first:end])
 
 
-def _kind_of(data: bytes | None) -> str | None:
+def _kind_of(data: bytes | None, glued: bool = True) -> str | None:
     """What decoded bytes are: a key, or text that holds a secret itself (plain or confirmed), or neither."""
     if not data:
         return None
@@ -157,13 +167,68 @@ def _kind_of(data: bytes | None) -> str | None:
         inner = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    if "".join(inner.split()).isprintable() and (next(_base(inner), None) or next(_confirmed(inner), None)):
+    readable = "".join(inner.split()).isprintable()
+    if readable and (next(_base(inner), None) or next(_confirmed(inner, glued), None)):
         return "encoded"
     return None
 
 
-def _confirmed(text: str) -> Iterator[tuple[str, int, int]]:
-    """Candidates whose decoded bytes have the structure of a secret."""
+def _key_parts(data: bytes, step: int) -> Iterator[tuple[int, int]]:
+    """Keys within decoded bytes, from places that a character begins (multiples of `step`): start and end."""
+    for m in _DER_START.finditer(data):
+        start = m.start()
+        size, head = data[start + 1], 2
+        if size >= 128:
+            head += size & 127
+            size = int.from_bytes(data[start + 2 : start + head], "big")
+        end = start + head + size
+        if start % step == 0 and end <= len(data) and is_private_der(data[start:end]):
+            yield start, end
+    start = data.find(_SSH_MAGIC)
+    while start >= 0:
+        if start % step == 0 and (size := _ssh_length(data, start)):
+            yield start, start + size
+        start = data.find(_SSH_MAGIC, start + 1)
+
+
+def _parts(run: str, chars: int, step: int, unpack: Callable[[str], bytes | None]) -> Iterator[tuple[str, int, int]]:
+    """Secrets that are only a part of a run, as other characters of its alphabet are glued to them.
+
+    `chars` characters are `step` bytes. The run is decoded from each of its first `chars` places on, which reads what
+    begins anywhere; a span has the whole characters of a key, or of the readable stretch that holds a secret.
+    """
+    size = len(run.rstrip("="))
+    for shift in range(chars):
+        data = unpack(run[shift : size - ((size - shift) % chars == 1)])
+        if not data:
+            continue
+        found = [("key", *part) for part in _key_parts(data, step)]
+        for m in _READABLE.finditer(data):
+            inner = m[0].decode("utf-8", "replace")
+            if next(_base(inner), None) or next(_confirmed(inner, glued=False), None):
+                found.append(("encoded", *m.span()))
+        for kind, start, end in found:
+            end = shift + (end + step - 1) // step * chars
+            yield kind, shift + start // step * chars, end if end < size else len(run)
+
+
+def _header_start(segment: str) -> int | None:
+    """Where in a part of a signed token the JSON object starts that ends with it."""
+    for shift in range(4):
+        text = (_unpack(segment[shift:]) or b"").decode("latin-1")
+        at = text.find('{"')
+        while at >= 0:
+            try:
+                if at % 3 == 0 and json.JSONDecoder().raw_decode(text, at)[1] == len(text):
+                    return shift + at // 3 * 4
+            except (ValueError, RecursionError):
+                pass
+            at = text.find('{"', at + 1)
+    return None
+
+
+def _confirmed(text: str, glued: bool = True) -> Iterator[tuple[str, int, int]]:
+    """Candidates whose decoded bytes have the structure of a secret; with `glued`, parts of candidates too."""
     armoured = []
     if "PRIVATE KEY-----" in text:
         for m in _ARMOUR.finditer(text):
@@ -173,16 +238,22 @@ def _confirmed(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "pem", *m.span()
     if "eyJ" in text:
         for m in _TOKEN.finditer(text):
-            if is_signed_token(m[1], m[2]):
-                yield "jwt", *m.span()
+            if "eyJ" in m[1] and (start := _header_start(m[1])) is not None and is_signed_token(m[1][start:], m[2]):
+                yield "jwt", m.start() + start, m.end(3)
     for start, end, body in _wrapped(text):
-        if not any(a <= start < b for a, b in armoured) and (kind := _kind_of(_unpack(body))):
+        if not any(a <= start < b for a, b in armoured) and (kind := _kind_of(_unpack(body), glued)):
             armoured.append((start, end))
             yield kind, start, end
-    for pattern, unpack in ((_BASE64, _unpack), (_HEX_ANY, lambda x: bytes.fromhex(x[: len(x) // 2 * 2]))):
+    alphabets = ((_BASE64, 4, 3, _unpack), (_HEX_ANY, 2, 1, lambda x: bytes.fromhex(x[: len(x) // 2 * 2])))
+    for pattern, chars, step, unpack in alphabets:
         for m in pattern.finditer(text):
-            if not any(a <= m.start() < b for a, b in armoured) and (kind := _kind_of(unpack(m[0]))):
+            if any(a <= m.start() < b for a, b in armoured):
+                continue
+            if kind := _kind_of(unpack(m[0]), glued):
                 yield kind, *m.span()
+            elif glued:
+                for kind, start, end in _parts(m[0], chars, step, unpack):
+                    yield kind, m.start() + start, m.start() + end
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:

@@ -72,6 +72,71 @@ def test_decoded_texts_are_scanned_whole():
     assert find_secrets(coded("nothing to hide in here\n")) == []
 
 
+SSH = b"openssh-key-v1\0" + b"".join(
+    len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")
+) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"public" * 8, b"private" * 20))
+
+
+def coded_forms(data: bytes) -> list[str]:
+    plain, url = base64.b64encode(data).decode(), base64.urlsafe_b64encode(data).decode()
+    return [plain, plain.rstrip("="), url, url.rstrip("="), data.hex()]
+
+
+def test_candidates_with_other_characters_glued_to_them():
+    rnd = random.Random(11)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
+    inners = [b"password=hunter2hunter2", "é token: geheim-geheim ü".encode(), b"AKIA" + b"Q7" * 9, RSA, SSH]
+    for n in range(600):
+        inner = inners[n % len(inners)]
+        core = rnd.choice(coded_forms(inner))
+        glue = lambda: "".join(rnd.choices("0123456789abcdef" if core == inner.hex() else alphabet, k=rnd.randrange(12)))
+        before, after = glue(), glue()
+        text = f"see {before}{core}{after} end"
+        start, end = 4 + len(before), 4 + len(before) + len(core.rstrip("="))
+        spans = find_secrets(text)
+        kinds = {"key"} if inner in (RSA, SSH) else {"encoded", "hex"} if core == inner.hex() else {"encoded"}
+        assert any(k in kinds and a <= start and b >= end for k, a, b in spans), (text, spans)
+    for before in ("x_", "/path/", "key-", "a/", "ab", ""):
+        spans = find_secrets(f"go {before}{JWT} on")
+        assert ("jwt", 3 + len(before), 3 + len(before) + len(JWT)) in spans, before
+
+
+def test_glued_candidates_equal_a_slow_version():
+    """Every part of a run from every place on is decoded by itself; texts with a secret in any are those found."""
+    rnd = random.Random(12)
+
+    def slow(run: str) -> bool:
+        for a in range(len(run)):
+            for b in range(a + 16, len(run) + 1):
+                if (b - a) % 4 == 1:
+                    continue
+                try:
+                    part = run[a:b].replace("-", "+").replace("_", "/")
+                    inner = base64.b64decode(part + "=" * (-len(part) % 4)).decode()
+                except ValueError:
+                    continue
+                if "".join(inner.split()).isprintable() and any(e - s >= 12 for _, s, e in find_secrets(inner)):
+                    return True
+        return False
+
+    seen = []
+    for n in range(120):
+        inner = rnd.choice([b"password=hunter2", b"token=abcdef", b"nothing to hide in it", b"secret of five", rnd.randbytes(20)])
+        glue = lambda: "".join(rnd.choices("abcXYZ019+/_-", k=rnd.randrange(6)))
+        run = glue() + base64.b64encode(inner).decode().rstrip("=") + glue()
+        seen.append(slow(run))
+        assert any(k == "encoded" for k, _, _ in find_secrets(f"a {run} b")) == seen[-1], run
+    assert 20 < sum(seen) < 100
+
+
+def test_parts_of_runs_stay_linear():
+    rnd = random.Random(13)
+    junk = base64.b64encode(rnd.randbytes(600_000)).decode()
+    assert find_secrets(junk) == [] or all(k in ("access",) for k, _, _ in find_secrets(junk))
+    assert find_secrets("eyJ" * 100_000 + ".eyJ.x") == []
+    assert find_secrets("MIIB" * 100_000) == []
+
+
 def test_scan_and_redact_columns(spark):
     docs = table(spark, odd_texts() + [(20, "my password=0123456789abcdef01234567 ok")])
     found = {r["doc_id"]: r["secrets"] for r in scan_secrets(docs).collect()}
