@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from invoicelake.catalog.queries import QUERIES
 from invoicelake.operators.entities import tag_entities, tokens
 from invoicelake.operators.intake import admit
 from invoicelake.operators.reports import coverage
@@ -206,3 +207,14 @@ def test_types_are_chosen_within_one_scan(spark, docs, results):
         assert known == r.fields.asDict() and rows[key].overall_confidence == r.overall_confidence
     plan = extract_documents(docs, (PURCHASE_ORDER, INVOICE))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Union" not in plan
+
+
+@pytest.mark.parametrize("folder", [True, False])
+def test_a_streamed_table_may_be_a_folder_or_a_file(spark, tmp_path, folder):
+    rows = spark.createDataFrame([(k, f"Invoice No: A-{k:03d}") for k in range(7)], "doc_id long, text string")
+    rows.repartition(3 if folder else 1).write.parquet(str(tmp_path / "made"))
+    if folder:
+        (tmp_path / "made").rename(tmp_path / "documents.parquet")
+    else:
+        next((tmp_path / "made").glob("part-*.parquet")).rename(tmp_path / "documents.parquet")
+    assert {r.doc_id for r in QUERIES["stream_results"](spark, str(tmp_path)).collect()} == set(range(7))
