@@ -41,6 +41,19 @@ def test_review_ranks(spark, tmp_path):
     assert write_review(frame, str(tmp_path / "none"), -1.0).count() == 0
 
 
+def test_review_reads_its_input_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    frame = spark.range(100).selectExpr("id AS doc_id", "id / 200 AS overall_confidence")
+    ranked = write_review(frame.mapInArrow(count, frame.schema), str(tmp_path / "once"), 0.6)
+    assert ranked.count() == 100 and seen.value == 100
+
+
 def test_conflicts(spark):
     claims = [(1, "f", "rule", "a"), (1, "f", "rule", "b"), (2, "f", "rule", "a"), (2, "f", "entity", "a"), (3, "f", "rule", "a"),
               (3, "f", "entity", "b"), (4, "f", "entity", "a"), (4, "f", "entity", "c"), (5, "g", "rule", "x")]
