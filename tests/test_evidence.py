@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from invoicelake.catalog.corpus import prose, rendered_invoices
 from invoicelake.functions.text import clean_text
-from invoicelake.operators.entities import evidence, head_text, tag_entities, tagged_rows, tokens, with_row_evidence, with_text_evidence
+from invoicelake.operators.entities import annotated, evidence, head_text, tag_entities, tagged_rows, tokens, with_row_evidence, with_text_evidence
 from invoicelake.plans.extraction import extract_invoices
 from invoicelake.sources.writers import bucketed
 from tests.test_extraction import TEXTS
@@ -82,3 +82,14 @@ def test_bucketed_tables_stay_in_place(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {r.doc_id: r for r in found.collect()} == {r.doc_id: r for r in extract_invoices(docs, tagged=True).collect()}
+
+
+def test_what_is_cut_once_serves_tokens_and_spans(spark):
+    texts = [(1, "Total: USD 12.50 on 3 May 2027 for Acme Ltd"), (2, ""), (3, None), (4, "12\tdue 2027-01-09")]
+    docs = spark.createDataFrame(texts, "doc_id long, raw_text string")
+    cut = annotated(docs)
+    for made in (tokens, tag_entities):
+        assert sorted(map(str, made(cut).collect())) == sorted(map(str, made(docs).collect()))
+    written = spark.createDataFrame(cut.collect(), cut.schema)
+    for made in (tokens, tag_entities):
+        assert "regexp_extract_all" not in made(written)._jdf.queryExecution().optimizedPlan().toString()
