@@ -3,9 +3,11 @@
 import io
 import zipfile
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from invoicelake.catalog import queries
 from invoicelake.catalog.queries import QUERIES
 from invoicelake.operators.entities import tag_entities, tokens
 from invoicelake.operators.intake import admit
@@ -218,3 +220,14 @@ def test_a_streamed_table_may_be_a_folder_or_a_file(spark, tmp_path, folder):
     else:
         next((tmp_path / "made").glob("part-*.parquet")).rename(tmp_path / "documents.parquet")
     assert {r.doc_id for r in QUERIES["stream_results"](spark, str(tmp_path)).collect()} == set(range(7))
+
+
+def test_lots_land_in_few_files_that_many_tasks_can_read(spark, tmp_path):
+    docs = spark.range(200_000, numPartitions=24).selectExpr("id AS doc_id", "concat(sha2(string(id), 256), sha2(string(-id), 256)) AS raw_text")
+    for lot in range(2):
+        queries._land(docs.where(f"doc_id % 2 = {lot}"), str(tmp_path / "in"))
+    files = list((tmp_path / "in").glob("*.parquet"))
+    assert len(files) == 2 * queries.LOT_FILES
+    assert all(pq.ParquetFile(f).num_row_groups > 1 for f in files[:3])
+    assert spark.read.parquet(str(tmp_path / "in")).exceptAll(docs).isEmpty()
+    assert spark.read.parquet(str(tmp_path / "in")).count() == 200_000
