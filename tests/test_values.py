@@ -2,10 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from invoicelake.functions import normalize as N, scoring as S
-from invoicelake.functions.text import clean_text, lines
+from invoicelake.functions import fixed_values as V, normalize as N, scoring as S
+from invoicelake.functions.text import clean_text, lines, strip
 
 
 def run(spark, cases, build):
@@ -106,3 +107,16 @@ def test_consistency(spark):
     assert got[2] == [
         "Consistency check: total_amount (40.00) is less than sum of line items (300.00) — possible extraction error."
     ]
+
+
+def test_the_usual_amount_is_searched_once(spark):
+    # expressions inside of a transform don't share their parts
+    written = N.normalize_amount(F.col("a"))._jc.toString()
+    assert written.count("regexp_extract(a,") == 1
+
+
+def test_strip_is_trimming_at_both_ends(spark):
+    texts = ["", " ", "a", " a", "a ", "a b", "\u3000a", "a\u2003", "\u00e9", "\u00e9a", "a\u00e9 ", "\x1fa\x85", "\x00a", "a\x7f", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = frame.select(strip(F.col("t")), F.btrim("t", F.lit(V.WHITESPACE))).collect()
+    assert len(rows) == len(texts) and all(got == want for got, want in rows)
