@@ -5,6 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from invoicelake.catalog import queries as Q
 from invoicelake.operators.intake import admit
 from invoicelake.operators.reports import conflict_report, item_differences, write_review
 from invoicelake.sources.readers import read_files
@@ -41,6 +42,23 @@ def test_review_ranks(spark, tmp_path):
     assert write_review(frame, str(tmp_path / "none"), -1.0).count() == 0
 
 
+def test_review_queue_extracts_once(spark, monkeypatch):
+    """Sorting reads its input once more, so the rows are written before."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(k, round((k * 37 % 100) / 100, 2)) for k in range(500)]
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    frame = spark.createDataFrame(rows, "doc_id long, overall_confidence double")
+    monkeypatch.setattr(Q, "_results", lambda spark, sf_dir: frame.mapInArrow(count, frame.schema))
+    got = [tuple(r) for r in Q.review_queue(spark, "").collect()]
+    assert got == sorted([r for r in rows if r[1] < 0.6], key=lambda r: (r[1], r[0]))
+    assert seen.value == len(rows)
+
+
 def test_review_reads_its_input_once(spark, tmp_path):
     seen = spark.sparkContext.accumulator(0)
 
